@@ -15,8 +15,9 @@ The comparisons grow with the square of the number of different fingerprints; ti
 only divide them by a constant.
 
 Edge cases: a null text counts as empty; a text of no words has fingerprint zero; one
-of fewer words than a shingle has one shingle; null ids come last in a component;
-repeated rows have the same result; other columns are ignored.
+of fewer words than a shingle has one shingle; rows of a null id are linked like others,
+and a component of null ids alone has a null component_id; repeated rows have the same
+result; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def tile_pair_forest(a, b, radius: int, levels: tuple[int, ...] = (), block: int
 
 
 def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, levels: tuple[int, ...] = ()) -> DataFrame:
-    """(u long, v long, distance int) between ids of `prints` (id, f0, ...), one id per fingerprint.
+    """(u long, v long, distance int) between ids of `prints` (id, f0, ...), one row per fingerprint.
 
     A spanning forest of the links of each pair of tiles.
     """
@@ -202,25 +203,24 @@ def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_76
     return sides.repartition(max(parts, 64), "pair").groupBy("pair").applyInArrow(compared, "u long, v long, distance int")
 
 
-_NO_ID = (1 << 63) - 1
-
-
-def _grouped(df: DataFrame, prints: DataFrame, edges_of, bits: int) -> DataFrame:
-    names = [f"f{k}" for k in range(bits // 64)]
-    distinct = stored(prints.groupBy(*names).agg(F.min("id").alias("id")), "distinct-prints")
-    found = components(edges_of(distinct))
-    labels = distinct.join(found, distinct["id"] == found["node"], "left").select(*(F.col(n).alias(f"_{n}") for n in names), F.coalesce("component", "id").alias("component_id"))
-    same = [prints[n] == labels[f"_{n}"] for n in names]
-    return prints.join(labels, same).select("id", *names, "component_id")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 3, tile_rows: int = 32_768) -> DataFrame:
     """(id_col, f0 ..., component_id): documents whose fingerprints chain at most `radius` apart.
 
     component_id is the smallest id reachable, its own included.
     """
     prints = fingerprints(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)), "id", text_col, words, bits)
-    prints = stored(prints.withColumn("id", F.coalesce("id", F.lit(_NO_ID))), "fingerprints")
-    out = _grouped(df, prints, lambda distinct: links(distinct, radius, bits, tile_rows), bits)
-    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(real("id").alias(id_col), *(f"f{k}" for k in range(bits // 64)), real("component_id").alias("component_id"))
+    out = grouped(stored(prints, "fingerprints"), lambda nodes: links(nodes, radius, bits, tile_rows), bits)
+    return out.withColumnRenamed("id", id_col)
+
+
+def grouped(prints: DataFrame, edges_of, bits: int) -> DataFrame:
+    """(id, f0 ..., component_id) for stored prints (id, f0 ...); edges_of: links between fingerprints."""
+    names = [f"f{k}" for k in range(bits // 64)]
+    node = F.col("f0") if bits == 64 else F.xxhash64(*names)
+    nodes = stored(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("id", node), "distinct-prints")
+    found = components(edges_of(nodes.drop("least")))
+    labels = nodes.join(found, nodes["id"] == found["node"], "left").select(*names, "least", F.coalesce("component", "id").alias("component"))
+    least = labels.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
+    labels = labels.join(least, labels["component"] == least["c"]).select(*(F.col(n).alias(f"_{n}") for n in names), "component_id")
+    same = [prints[n] == labels[f"_{n}"] for n in names]
+    return prints.join(labels, same).select("id", *names, "component_id")
