@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """df, marked for broadcast if it is proven to have few rows (it must have narrow ones)."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder made with new_path, in whichever store it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,10 +6,13 @@ packed in one row. Fingerprints at a distance of at most `radius` have populatio
 that differ by at most `radius`, so pairs of tiles further apart are skipped; within a
 pair of tiles, blocks are skipped likewise, by the population counts of their 16-bit
 quarters. All other pairs are compared: numpy exclusive-or and bit counts. A task gives
-the links that join what it has not joined yet, a spanning forest: as many as it has
-fingerprints, at most, and no component is lost. Components are then worked out over all
-forests (components.py). No fingerprint or link reaches the driver but for counts by
-population count.
+a spanning forest of its links, of the least distances: fewer links than it has
+fingerprints, and no component is lost. Components are then worked out over all
+forests (components.py). Only counts by population count reach the driver.
+
+similar_documents() is for a similarity of shingle sets: fingerprints within a radius that
+this similarity hardly ever exceeds, in tiles whose set sizes allow it, give candidate
+links; those of the forests are then held against the whole sets.
 
 The comparisons grow with the square of the number of different fingerprints; tiles
 only divide them by a constant.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded, stored
 from .components import components
 from .pretokens import no_gc
 
@@ -64,8 +67,11 @@ def fingerprint(text: str, words: int = 3, bits: int = 64) -> list[int]:
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64) -> DataFrame:
-    """(id_col, f0 long, f1 long, ...): the fingerprints' words as signed integers."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, sizes: bool = False) -> DataFrame:
+    """(id_col, f0 long, f1 long, ...): the fingerprints' words as signed integers.
+
+    With sizes, also n_shingles long: how many different shingles a text has.
+    """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
 
@@ -76,17 +82,38 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             with no_gc():
                 found = [fingerprint(t, words, bits) for t in batch.column(1).to_pylist()]
             table = np.array(found, np.uint64).reshape(len(found), len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names)))], names=[id_col, *names])
+            counts = [pa.array([len(set(word_shingles(t, words))) for t in batch.column(1).to_pylist()], pa.int64())] if sizes else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + ["n_shingles"] * sizes)
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)]))
+    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)] + ["n_shingles long"] * sizes))
 
 
-def tile_pair_forest(a, b, radius: int, levels: tuple[int, ...] = (), block: int = 256):
-    """Indices (i, j, distance) of links between rows of a and b (or of a alone if b is None).
+def closest_forest(edges):
+    """Of edges (rows of i, j, distance), those of a minimum spanning forest."""
+    import numpy as np
 
-    a and b: arrays of shape (rows, words) of unsigned 64-bit integers. Of all pairs at
-    most `radius` apart, a spanning forest; with levels, closer pairs are joined first.
+    edges = edges[np.argsort(edges[:, 2], kind="stable")]
+    ends, at = np.unique(edges[:, :2], return_inverse=True)
+    parent = list(range(len(ends)))
+    kept = []
+    for n, (u, v) in enumerate(at.reshape(-1, 2).tolist()):
+        while parent[u] != u:
+            parent[u] = u = parent[parent[u]]
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            kept.append(n)
+    return edges[kept]
+
+
+def tile_pair_forest(a, b, radius: int, block: int = 256, most_held: int = 1_000_000):
+    """Links (i, j, distance) between rows of a and b, or of a alone if b is None.
+
+    a and b: arrays of shape (rows, words) of unsigned 64-bit integers; rows of b count
+    on from a's. Of all pairs at most `radius` apart, a spanning forest, and one of the
+    least distances. Links are held until there are many, then thinned to their forest.
     """
     import numpy as np
 
@@ -102,81 +129,59 @@ def tile_pair_forest(a, b, radius: int, levels: tuple[int, ...] = (), block: int
     oa, xa, low_a, high_a = ordered(a)
     ob, xb, low_b, high_b = (oa, xa, low_a, high_a) if own else ordered(b)
     shift = 0 if own else len(a)
-    parent = np.arange(len(a) + (0 if own else len(b)))
-
-    def roots(x):
-        r = parent[x]
-        while True:
-            above = parent[r]
-            if np.array_equal(above, r):
-                parent[x] = r
-                return r
-            r = above
-
-    out = []
-    for most in (*(x for x in levels if x < radius), radius):
-        for i in range(len(low_a)):
-            gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
-            near = np.flatnonzero(gap <= most)
-            for j in near[near >= i] if own else near:
-                x = xa[i * block : (i + 1) * block]
-                y = xb[j * block : (j + 1) * block]
-                distance = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-                for k in range(1, x.shape[1]):
-                    distance = distance + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-                hit = np.flatnonzero(distance.ravel() <= most)
-                if not len(hit) or own and i == j and len(hit) == len(x):
-                    continue
-                p = oa[i * block + hit // len(y)]
-                q = ob[j * block + hit % len(y)] + shift
-                rp, rq = roots(p), roots(q)
-                apart = np.flatnonzero(rp != rq)
-                if not len(apart):
-                    continue
-                _, first = np.unique(np.stack([rp[apart], rq[apart]]), axis=1, return_index=True)
-                d = distance.ravel()
-                first = first[np.argsort(d[hit[apart[first]]], kind="stable")]
-                for n in apart[first].tolist():
-                    u, v = int(p[n]), int(q[n])
-                    while parent[u] != u:
-                        u = int(parent[u])
-                    while parent[v] != v:
-                        v = int(parent[v])
-                    if u != v:
-                        parent[max(u, v)] = min(u, v)
-                        out.append((int(p[n]), int(q[n]), int(d[hit[n]])))
-    return out
-
-
-def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, levels: tuple[int, ...] = ()) -> DataFrame:
+    found, held = [np.empty((0, 3), np.int64)], 0
+    for i in range(len(low_a)):
+        x = xa[i * block : (i + 1) * block]
+        gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
+        near = np.flatnonzero(gap <= radius)
+        for j in near[near >= i] if own else near:
+            y = xb[j * block : (j + 1) * block]
+            distance = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            for k in range(1, x.shape[1]):
+                distance += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+            hit = np.flatnonzero(distance.ravel() <= radius)
+            if own and i == j:
+                hit = hit[hit // len(y) < hit % len(y)]
+            if len(hit):
+                found.append(np.stack([oa[i * block + hit // len(y)], ob[j * block + hit % len(y)] + shift, distance.ravel()[hit]], axis=1).astype(np.int64))
+                held += len(hit)
+                if held > most_held:
+                    found = [closest_forest(np.concatenate(found))]
+                    held = 0
+    return closest_forest(np.concatenate(found))
+
+
+def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, level: str | None = None) -> DataFrame:
     """(u long, v long, distance int) between ids of `prints` (id, f0, ...), one row per fingerprint.
 
-    A spanning forest of the links of each pair of tiles.
+    A spanning forest of the links of each pair of tiles. level names an integer column:
+    only rows of the same or neighbouring levels are linked then.
     """
     import numpy as np
 
     names = [f"f{k}" for k in range(bits // 64)]
     ones = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
-    rows = prints.select(F.col("id").cast("long"), *names, ones.cast("int").alias("ones"))
-    count_of = {r["ones"]: r["n"] for r in rows.groupBy("ones").agg(F.count("*").alias("n")).collect()}
-    # Tiles: neighbouring population counts together up to tile_rows; large ones in several.
-    low, high, first, several = [], [], [0] * (bits + 1), [1] * (bits + 1)
-    filled = tile_rows
-    for c in range(bits + 1):
-        n = count_of.get(c, 0)
-        if not low or filled + n > tile_rows:
-            several[c] = max(1, -(-n // tile_rows))
-            first[c] = len(low)
-            low += [c] * several[c]
-            high += [c] * several[c]
-            filled = n if several[c] == 1 else tile_rows
+    rows = prints.select(F.col("id").cast("long"), *names, ones.cast("int").alias("ones"), F.col(level).cast("int").alias("level") if level else F.lit(0).alias("level"))
+    count_of = {(r["level"], r["ones"]): r["n"] for r in rows.groupBy("level", "ones").agg(F.count("*").alias("n")).collect()}
+    # Tiles: neighbouring population counts of a level together up to tile_rows; large ones in several.
+    tiles_: list[list[int]] = []  # level, least and greatest population count
+    first, several, filled = {}, {}, 0
+    for (of, c), n in sorted(count_of.items()):
+        if not tiles_ or tiles_[-1][0] != of or filled + n > tile_rows:
+            several[of, c] = -(-n // tile_rows)
+            first[of, c] = len(tiles_)
+            tiles_ += [[of, c, c] for _ in range(several[of, c])]
+            filled = n if several[of, c] == 1 else tile_rows
         else:
-            first[c] = len(low) - 1
-            high[-1] = c
+            several[of, c], first[of, c] = 1, len(tiles_) - 1
+            tiles_[-1][2] = c
             filled += n
-    low, high = low or [0], high or [0]
+    tiles_ = tiles_ or [[0, 0, 0]]
+    base = min((of for of, _ in count_of), default=0)
+    every = [(of, c) for of in range(base, max((of for of, _ in count_of), default=0) + 1) for c in range(bits + 1)]
+    at = (F.col("level") - base) * (bits + 1) + F.col("ones")
     array_of = lambda x: F.array(*map(F.lit, x))
-    tile = F.get(array_of(first), F.col("ones")) + F.pmod(F.xxhash64(*names), F.get(array_of(several), F.col("ones"))).cast("int")
+    tile = F.get(array_of([first.get(k, 0) for k in every]), at) + F.pmod(F.xxhash64(*names), F.get(array_of([several.get(k, 1) for k in every]), at)).cast("int")
     width = len(names)
 
     def packed(table: pa.Table) -> pa.Table:
@@ -186,21 +191,25 @@ def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_76
 
     tiles = rows.select("id", *names, tile.alias("tile")).groupBy("tile").applyInArrow(packed, "tile int, ids binary, words binary")
     tiles = stored(tiles, "tiles")
-    lows, highs = array_of(low), array_of(high)
-    other = F.filter(F.sequence(F.lit(0), F.lit(len(low) - 1)), lambda t: (F.get(lows, t) - F.get(highs, F.col("tile")) <= radius) & (F.get(lows, F.col("tile")) - F.get(highs, t) <= radius))
+    levels, lows, highs = (array_of([t[k] for t in tiles_]) for k in range(3))
+    mine = F.col("tile")
+    other = F.filter(
+        F.sequence(F.lit(0), F.lit(len(tiles_) - 1)),
+        lambda t: (F.abs(F.get(levels, t) - F.get(levels, mine)) <= 1) & (F.get(lows, t) - F.get(highs, mine) <= radius) & (F.get(lows, mine) - F.get(highs, t) <= radius),
+    )
     sides = tiles.select("tile", "ids", "words", F.explode(other).alias("other"))
-    sides = sides.select((F.least("tile", "other").cast("long") * len(low) + F.greatest("tile", "other")).alias("pair"), "tile", "ids", "words")
+    sides = sides.select((F.least("tile", "other").cast("long") * len(tiles_) + F.greatest("tile", "other")).alias("pair"), "tile", "ids", "words")
 
     def compared(table: pa.Table) -> pa.Table:
         table = table.sort_by("tile")
         ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
         words = [np.frombuffer(x, "<u8").reshape(-1, width) for x in table.column("words").to_pylist()]
         all_ids = np.concatenate(ids)
-        found = np.array(tile_pair_forest(words[0], words[1] if len(words) > 1 else None, radius, levels), np.int64).reshape(-1, 3)
+        found = np.array(tile_pair_forest(words[0], words[1] if len(words) > 1 else None, radius), np.int64)
         return pa.table({"u": all_ids[found[:, 0]], "v": all_ids[found[:, 1]], "distance": found[:, 2].astype(np.int32)})
 
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sides.repartition(max(parts, 64), "pair").groupBy("pair").applyInArrow(compared, "u long, v long, distance int")
+    parts = min(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(tiles_) * (len(tiles_) + 1) // 2)
+    return sides.repartition(parts, "pair").groupBy("pair").applyInArrow(compared, "u long, v long, distance int")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 3, tile_rows: int = 32_768) -> DataFrame:
@@ -224,3 +233,66 @@ def grouped(prints: DataFrame, edges_of, bits: int) -> DataFrame:
     labels = labels.join(least, labels["component"] == least["c"]).select(*(F.col(n).alias(f"_{n}") for n in names), "component_id")
     same = [prints[n] == labels[f"_{n}"] for n in names]
     return prints.join(labels, same).select("id", *names, "component_id")
+
+
+def radius_for(similarity: float, bits: int, deviations: float = 2.0) -> int:
+    """The distance that fingerprints of sets of this Jaccard similarity seldom exceed."""
+    turned = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * turned + deviations * math.sqrt(bits * turned * (1 - turned)))
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768) -> DataFrame:
+    """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
+
+    The id must be a unique integer. Documents of one fingerprint count as alike.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    names = [f"f{k}" for k in range(bits // 64)]
+    prints = fingerprints(docs, "id", "text", words, bits, sizes=True)
+    step = -math.log(similarity) if similarity < 1 else 1e-9
+    prints = stored(prints.withColumn("level", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).cast("int")), "fingerprints")
+    first = prints.groupBy(*names).agg(F.min(F.struct("id", "level")).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.level").alias("level"))
+    first = stored(first.withColumn("id", F.xxhash64(*names)), "first-documents")
+    edges = stored(links(first, radius_for(similarity, bits), bits, tile_rows, "level").select("u", "v").distinct(), "candidate-links")
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    wanted = stored(ends.join(first, ends["node"] == first["id"]).select("node", F.col("least").alias("wanted")), "linked-documents")
+    sets = shingle_sets(docs.join(bounded(wanted), F.col("id") == F.col("wanted")).select("node", "text"), "node", "text", words)
+    sets = stored(sets, "shingle-sets")
+    left, right = (sets.select(F.col("node").alias(f"n{k}"), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    both = edges.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    proven = both.mapInArrow(compared, "u long, v long")
+    return grouped(prints, lambda _: proven, bits).select(F.col("id").alias(id_col), "component_id")
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two sets of sorted 64-bit integers; of two empty ones, 1."""
+    import numpy as np
+
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id_col, shingles binary): the hashes of a text's different shingles, sorted."""
+    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                different = set(word_shingles(text.as_py(), words))
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different))
+                found.append(np.unique(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[id_col, "shingles"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, shingles binary")

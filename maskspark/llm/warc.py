@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded, stored
 
 CRLF = "\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -65,9 +65,8 @@ def revisits(df: DataFrame, id_col: str, payload: Column, least_bytes: int) -> D
 def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = 8_192, chunk_bytes: int = 4_096, least_revisit_bytes: int = 0, records_per_file: int = 8_000, date: str = "2000-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> None:
     """Write df's rows as archives in the folder path."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    again = stored(revisits(df, id_col, payload, least_revisit_bytes), "revisits")
-    if again.count() <= broadcast_rows:  # else the payloads are shuffled to them
-        again = F.broadcast(again)
+    # Few revisits are broadcast; to many the payloads are shuffled.
+    again = bounded(stored(revisits(df, id_col, payload, least_revisit_bytes), "revisits"), broadcast_rows)
     url = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("about:blank")), r"[\x00-\x20]", "%20")
     pages = df.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("_row"))
     pages = pages.join(again, F.col("_row") == F.col("row"), "left").withColumn("digest", base32_sha1(F.col("payload")))
