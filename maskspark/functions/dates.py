@@ -65,9 +65,8 @@ def parsed(surface: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def shifted(surface: Column, days: Column) -> Column:
-    """The date moved by days, in its own form; null where there is no date."""
-    p = parsed(surface)
+def shifted_date(p: Column, days: Column) -> Column:
+    """A parsed date moved by days, in its own form; null for null."""
     moved = F.date_add(p["date"], days.cast("int"))
     out = None
     for k, (_, shape) in enumerate(FORMS):
@@ -75,5 +74,10 @@ def shifted(surface: Column, days: Column) -> Column:
     return out
 
 
+def shifted(surface: Column, days: Column) -> Column:
+    """The date moved by days; null where there is no date."""
+    return shifted_date(parsed(surface), days)
+
+
 def year_only(surface: Column) -> Column:
     return F.year(parsed(surface)["date"]).cast("string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def literal_map(values: dict, kind: str) -> Column:
@@ -68,7 +69,7 @@ def surfaces(documents: DataFrame, spans: DataFrame, id_col: str = "file_id", te
     return both.select(id_col, *(F.col(f"_z._spans.{c}").alias(c) for c in spans.columns if c != id_col), F.col("_z._surfaces").alias("surface"))
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     out = []
     for t, s, e in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist()):
@@ -78,7 +79,7 @@ def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def replaced(text: pa.Array, starts: pa.Array, ends: pa.Array, replacements: pa.Array) -> pa.Array:
     """Texts with their spans replaced, in one pass over each."""
     out = []

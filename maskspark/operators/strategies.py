@@ -52,8 +52,12 @@ def placeholders(spans: DataFrame, canonical: Column, id_col: str = "file_id") -
     return rows.withColumn("placeholder", label).drop("_numbered", "_class", "_canonical", "_first")
 
 
-def generalized(entity_type: Column, surface: Column, bracket: Column, token: Column) -> Column:
-    """Dates to years, postcodes to three digits, ages to brackets; others to a bare token."""
+def generalized(entity_type: Column, surface: Column, bracket: Column, token: Column, date: Column | None = None) -> Column:
+    """Dates to years, postcodes to three digits, ages to brackets; others to a bare token.
+
+    date: the surface parsed (dates.parsed), if it is there already.
+    """
+    date = dates.parsed(surface) if date is None else date
     kind, digits = F.upper(entity_type), crypto.digits_of(surface)
     age = F.try_to_number(digits, F.lit("9" * 38)).cast("decimal(38,0)")
     low = (F.floor(age / 5) * 5).cast("int")
@@ -63,7 +67,7 @@ def generalized(entity_type: Column, surface: Column, bracket: Column, token: Co
     )
     zips = F.when(F.length(digits) >= 4, F.concat(F.substring(digits, 1, 3), F.repeat(F.lit("X"), F.length(digits) - 3))).otherwise("<ZIP>")
     return (
-        F.when(kind.isin(*DATES), F.coalesce(dates.year_only(surface), F.lit("<DATE>"))).when(kind.isin(*POSTCODES), zips)
+        F.when(kind.isin(*DATES), F.coalesce(F.year(date["date"]).cast("string"), F.lit("<DATE>"))).when(kind.isin(*POSTCODES), zips)
         .when(kind == "AGE", ages).otherwise(F.concat(F.lit("<"), token, F.lit(">")))
     )
 
@@ -86,8 +90,9 @@ def shift_days(document: Column, key: bytes) -> Column:
     return draw(document)
 
 
-def date_shifted(surface: Column, days: Column) -> Column:
-    return F.coalesce(dates.shifted(surface, days), F.lit("<DATE>"))
+def date_shifted(date: Column, days: Column) -> Column:
+    """A parsed date (dates.parsed) moved by days."""
+    return F.coalesce(dates.shifted_date(date, days), F.lit("<DATE>"))
 
 
 def with_fpe(rows: DataFrame, key: bytes | None, tweak: bytes | None, name: str = "fpe") -> DataFrame:

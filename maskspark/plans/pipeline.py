@@ -8,13 +8,16 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from maskspark.functions.canonical import VERSION, canonical
+from maskspark.functions import dates
+from maskspark.functions.canonical import VERSION, canonical, type_prefix
 from maskspark.operators import pseudonyms, spans, strategies
 from maskspark.operators.detect import find
 
 from .policy import Job, Policy, PolicyViolation, default_policy
 
+_LEAKS = ArrayType(StructType([StructField("entity_type", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("confidence", DoubleType())]))
 VERIFIED, LEAK, UNVERIFIED = "VERIFIED", "LEAK_DETECTED", "UNVERIFIED"
 
 
@@ -30,7 +33,7 @@ class Keys:
         return "Keys(...)"
 
 
-@F.arrow_udf("array<struct<entity_type: string, start: int, end: int, confidence: double>>")
+@F.arrow_udf(_LEAKS)
 def _found_outside(masked: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """What the detector finds in masked texts, but for what lies inside one replacement."""
     from bisect import bisect_right
@@ -62,11 +65,15 @@ def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy,
     wanted = strategies.with_policy(disjoint, table, job.target).where("strategy <> 'keep'")
     rows = spans.surfaces(documents, wanted.select(id_col, "start", "end", "entity_type", "strategy", "indexed", "token", "bracket"), id_col, text_col)
     kind, surface, token, strategy = (F.col(c) for c in ("entity_type", "surface", "token", "strategy"))
+    # Both are columns of their own: used inside larger expressions they would be worked out anew each time.
     rows = rows.withColumn("_form", canonical(kind, surface))
+    if used & {"generalize", "date_shift"}:
+        dated = (strategy == "date_shift") | (strategy == "generalize") & F.upper(kind).isin(*strategies.DATES)
+        rows = rows.withColumn("_date", F.when(dated, dates.parsed(surface)))
     rows = strategies.placeholders(rows, F.col("_form"), id_col)
     choice = F.when(strategy == "placeholder_indexed", F.col("placeholder"))
     if "generalize" in used:
-        choice = choice.when(strategy == "generalize", strategies.generalized(kind, surface, F.col("bracket"), token))
+        choice = choice.when(strategy == "generalize", strategies.generalized(kind, surface, F.col("bracket"), token, F.col("_date")))
     if "date_shift" in used:
         if "shift_days" in documents.columns:
             shifts = documents.select(F.col(id_col).alias("_of"), F.col("shift_days").alias("_days"))
@@ -74,7 +81,7 @@ def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy,
             days = F.col("_days")
         else:
             days = strategies.shift_days(F.col(id_col), shift_key or secrets.token_bytes(32))
-        choice = choice.when(strategy == "date_shift", strategies.date_shifted(surface, days))
+        choice = choice.when(strategy == "date_shift", strategies.date_shifted(F.col("_date"), days))
     if not training and "hmac_pseudonym" in used:
         if keys.salt is None:
             raise PolicyViolation("pseudonyms need a salt")
@@ -83,8 +90,6 @@ def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy,
         owned = pseudonyms.token_lengths(pseudonyms.identities_of(hashed, id_col), job.pseudonym_len, registry)
         owned = owned.select(F.col("entity_class").alias("_c"), F.col("digest").alias("_d"), "token_length")
         rows = rows.join(owned, (F.col("entity_class") == F.col("_c")) & (F.col("digest") == F.col("_d")) & (strategy == "hmac_pseudonym"), "left")
-        from maskspark.functions.canonical import type_prefix
-
         choice = choice.when(strategy == "hmac_pseudonym", F.concat(type_prefix(kind), F.lit("_"), F.expr("substring(digest, 1, token_length)")))
     if not training and "fpe" in used:
         in_base = any(e.strategy == "fpe" for e in policy.of(job.target).values())
@@ -114,7 +119,6 @@ def mask(documents: DataFrame, findings: DataFrame, job: Job | None = None, poli
     joined = documents.select(id_col, text_col).join(lists, F.col(id_col) == F.col("_id"), "left")
     none = F.array().cast(lists.schema["replacements"].dataType)
     out = joined.select(id_col, spans.replaced(F.col(text_col), F.col("replacements.start"), F.col("replacements.end"), F.col("replacements.replacement")).alias("masked_text"), F.coalesce("replacements", none).alias("replacements"))
-    leak = "array<struct<entity_type: string, start: int, end: int, confidence: double>>"
     if verify:
         kept = [k for k, e in policy.of(job.target).items() if (job.strategy_overrides.get(k, e.strategy) if honor_overrides else e.strategy) == "keep"]
         found = _found_outside(F.col("masked_text"), F.col("replacements.new_start"), F.col("replacements.new_end"))
@@ -123,7 +127,7 @@ def mask(documents: DataFrame, findings: DataFrame, job: Job | None = None, poli
         out = out.withColumn("leaks", F.filter("_found", real)).drop("_found")
         out = out.withColumn("status", F.when(F.size("leaks") > 0, LEAK).otherwise(VERIFIED))
     else:
-        out = out.withColumn("leaks", F.array().cast(leak)).withColumn("status", F.lit(UNVERIFIED))
+        out = out.withColumn("leaks", F.array().cast(_LEAKS)).withColumn("status", F.lit(UNVERIFIED))
     if redact_quarantined:
         bare = F.transform("replacements", lambda r: r.withField("original", F.lit(None).cast("string")))
         out = out.withColumn("replacements", F.when(F.col("status") == LEAK, bare).otherwise(F.col("replacements")))
