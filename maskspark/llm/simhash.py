@@ -108,12 +108,28 @@ def closest_forest(edges):
     return edges[kept]
 
 
-def tile_pair_forest(a, b, radius: int, block: int = 256, most_held: int = 1_000_000):
-    """Links (i, j, distance) between rows of a and b, or of a alone if b is None.
+def closest_forests(edges, forests: int):
+    """Rows (i, j, distance, k): the k-th is a closest forest of what the earlier ones leave.
+
+    Thinned so, the links of several thinned lists together still have these forests.
+    """
+    import numpy as np
+
+    out = [np.empty((0, 4), np.int64)]
+    for k in range(forests):
+        chosen = closest_forest(np.column_stack([edges, np.arange(len(edges))]))
+        out.append(np.column_stack([chosen[:, :3], np.full(len(chosen), k)]))
+        edges = np.delete(edges, chosen[:, 3], axis=0)
+    return np.concatenate(out)
+
+
+def tile_pair_forest(a, b, radius: int, block: int = 256, most_held: int = 1_000_000, forests: int = 1):
+    """Links (i, j, distance, k) between rows of a and b, or of a alone if b is None.
 
     a and b: arrays of shape (rows, words) of unsigned 64-bit integers; rows of b count
-    on from a's. Of all pairs at most `radius` apart, a spanning forest, and one of the
-    least distances. Links are held until there are many, then thinned to their forest.
+    on from a's. Of all pairs at most `radius` apart, a spanning forest of the least
+    distances (k = 0), and `forests` - 1 more of other links. Links are held until there
+    are many, then thinned to these.
     """
     import numpy as np
 
@@ -146,15 +162,15 @@ def tile_pair_forest(a, b, radius: int, block: int = 256, most_held: int = 1_000
                 found.append(np.stack([oa[i * block + hit // len(y)], ob[j * block + hit % len(y)] + shift, distance.ravel()[hit]], axis=1).astype(np.int64))
                 held += len(hit)
                 if held > most_held:
-                    found = [closest_forest(np.concatenate(found))]
+                    found = [closest_forests(np.concatenate(found), forests)[:, :3]]
                     held = 0
-    return closest_forest(np.concatenate(found))
+    return closest_forests(np.concatenate(found), forests)
 
 
-def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, level: str | None = None) -> DataFrame:
-    """(u long, v long, distance int) between ids of `prints` (id, f0, ...), one row per fingerprint.
+def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, level: str | None = None, forests: int = 1) -> DataFrame:
+    """(u long, v long, distance int, forest int) between ids of `prints` (id, f0, ...), one row per fingerprint.
 
-    A spanning forest of the links of each pair of tiles. level names an integer column:
+    Spanning forests of the links of each pair of tiles. level names an integer column:
     only rows of the same or neighbouring levels are linked then.
     """
     import numpy as np
@@ -205,11 +221,11 @@ def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_76
         ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
         words = [np.frombuffer(x, "<u8").reshape(-1, width) for x in table.column("words").to_pylist()]
         all_ids = np.concatenate(ids)
-        found = np.array(tile_pair_forest(words[0], words[1] if len(words) > 1 else None, radius), np.int64)
-        return pa.table({"u": all_ids[found[:, 0]], "v": all_ids[found[:, 1]], "distance": found[:, 2].astype(np.int32)})
+        found = np.array(tile_pair_forest(words[0], words[1] if len(words) > 1 else None, radius, forests=forests), np.int64)
+        return pa.table({"u": all_ids[found[:, 0]], "v": all_ids[found[:, 1]], "distance": found[:, 2].astype(np.int32), "forest": found[:, 3].astype(np.int32)})
 
     parts = min(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(tiles_) * (len(tiles_) + 1) // 2)
-    return sides.repartition(parts, "pair").groupBy("pair").applyInArrow(compared, "u long, v long, distance int")
+    return sides.repartition(parts, "pair").groupBy("pair").applyInArrow(compared, "u long, v long, distance int, forest int")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 3, tile_rows: int = 32_768) -> DataFrame:
@@ -235,16 +251,18 @@ def grouped(prints: DataFrame, edges_of, bits: int) -> DataFrame:
     return prints.join(labels, same).select("id", *names, "component_id")
 
 
-def radius_for(similarity: float, bits: int, deviations: float = 2.0) -> int:
+def radius_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
     """The distance that fingerprints of sets of this Jaccard similarity seldom exceed."""
     turned = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * turned + deviations * math.sqrt(bits * turned * (1 - turned)))
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768) -> DataFrame:
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768, forests: int = 4) -> DataFrame:
     """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
 
-    The id must be a unique integer. Documents of one fingerprint count as alike.
+    The id must be a unique integer. Documents of one fingerprint count as alike. The
+    candidate links of the first forest are held against the sets; where some fail, those
+    of the next that would still join two components, and so on.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
@@ -253,20 +271,31 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = stored(prints.withColumn("level", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).cast("int")), "fingerprints")
     first = prints.groupBy(*names).agg(F.min(F.struct("id", "level")).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.level").alias("level"))
     first = stored(first.withColumn("id", F.xxhash64(*names)), "first-documents")
-    edges = stored(links(first, radius_for(similarity, bits), bits, tile_rows, "level").select("u", "v").distinct(), "candidate-links")
+    edges = links(first, radius_for(similarity, bits), bits, tile_rows, "level", forests)
+    edges = stored(edges.groupBy("u", "v").agg(F.min("forest").alias("forest")), "candidate-links")
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     wanted = stored(ends.join(first, ends["node"] == first["id"]).select("node", F.col("least").alias("wanted")), "linked-documents")
     sets = shingle_sets(docs.join(bounded(wanted), F.col("id") == F.col("wanted")).select("node", "text"), "node", "text", words)
     sets = stored(sets, "shingle-sets")
     left, right = (sets.select(F.col("node").alias(f"n{k}"), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = edges.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    proven = both.mapInArrow(compared, "u long, v long")
+    proven = None
+    for k in range(forests):
+        now = edges.where(F.col("forest") == k).select("u", "v")
+        if proven is not None:
+            of_u, of_v = (labels.select(F.col("node").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "uv")
+            now = now.join(of_u, F.col("u") == F.col("n_u"), "left").join(of_v, F.col("v") == F.col("n_v"), "left")
+            now = now.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+        both = now.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
+        good = stored(both.mapInArrow(compared, "u long, v long"), "proven-links")
+        proven = good if proven is None else proven.unionByName(good)
+        if k + 1 < forests:
+            labels = stored(components(proven), "labels")
     return grouped(prints, lambda _: proven, bits).select(F.col("id").alias(id_col), "component_id")
 
 
