@@ -138,7 +138,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     ids = [r["id"] for r in rows.select("id", "lang", F.xxhash64("id").alias("hash")).withColumn("rank", rank).where(F.col("rank") <= docs_per_language).collect()]
     if not ids:
         return None
-    sample = sorted(((r["lang"], r["id"], r["text"]) for r in rows.where(F.col("id").isin(ids)).collect()))
+    found = rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("one"))  # an id may be repeated
+    sample = sorted((r["one"]["lang"], r["id"], r["one"]["text"]) for r in found.collect())
     languages = sorted({lang for lang, _, _ in sample})
     xs, ys = [], []
     for lang, _, text in sample:
