@@ -14,6 +14,7 @@ from maskspark.functions import dates
 from maskspark.functions.canonical import VERSION, canonical, type_prefix
 from maskspark.operators import pseudonyms, spans, strategies
 from maskspark.operators.detect import find
+from maskspark.sources.store import written
 
 from .policy import Job, Policy, PolicyViolation, default_policy
 
@@ -61,7 +62,7 @@ def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy,
         raise PolicyViolation("a training plan is given no keys")
     disjoint = spans.resolved(spans.at_threshold(findings, job.confidence_threshold, job.type_thresholds), id_col)
     table = strategies.policy_table(spark, policy, job)
-    used = {r["strategy"] for r in table.select("strategy").distinct().collect()}
+    used = {job.strategy_overrides.get(kind, policy.lookup(job.target, kind).strategy) for kind in {*policy.of(job.target), *job.strategy_overrides}}
     wanted = strategies.with_policy(disjoint, table, job.target).where("strategy <> 'keep'")
     rows = spans.surfaces(documents, wanted.select(id_col, "start", "end", "entity_type", "strategy", "indexed", "token", "bracket"), id_col, text_col)
     kind, surface, token, strategy = (F.col(c) for c in ("entity_type", "surface", "token", "strategy"))
@@ -87,7 +88,9 @@ def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy,
             raise PolicyViolation("pseudonyms need a salt")
         rows = pseudonyms.with_digest(rows, keys.salt, kind, F.col("_form"))
         hashed = rows.where(strategy == "hmac_pseudonym")
-        owned = pseudonyms.token_lengths(pseudonyms.identities_of(hashed, id_col), job.pseudonym_len, registry)
+        # Who owns a prefix is known only after all identities are; they (digests, no originals) are written once.
+        identities = written(pseudonyms.identities_of(hashed, id_col), "identities")
+        owned = pseudonyms.token_lengths(identities, job.pseudonym_len, registry)
         owned = owned.select(F.col("entity_class").alias("_c"), F.col("digest").alias("_d"), "token_length")
         rows = rows.join(owned, (F.col("entity_class") == F.col("_c")) & (F.col("digest") == F.col("_d")) & (strategy == "hmac_pseudonym"), "left")
         choice = choice.when(strategy == "hmac_pseudonym", F.concat(type_prefix(kind), F.lit("_"), F.expr("substring(digest, 1, token_length)")))
