@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import bounded
 from .pretokens import no_gc
 from .wordbpe import encoder
 
@@ -65,7 +66,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(F.col("part").alias("part_"), before.alias("base"))
+    starts = bounded(totals.select(F.col("part").alias("part_"), before.alias("base")))
     return files.join(starts, files["part"] == starts["part_"]).withColumn("start", F.col("base") + F.col("part_start")).drop("part_", "base", "part_start")
 
 
