@@ -267,7 +267,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
     prints = fingerprints(docs, "id", "text", words, bits, sizes=True)
-    step = -math.log(similarity) if similarity < 1 else 1e-9
+    step = max(-math.log(similarity), 1e-6) * (1 + 1e-9)  # sets of this similarity are one level apart at most
     prints = stored(prints.withColumn("level", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).cast("int")), "fingerprints")
     first = prints.groupBy(*names).agg(F.min(F.struct("id", "level")).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.level").alias("level"))
     first = stored(first.withColumn("id", F.xxhash64(*names)), "first-documents")
