@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round is a few aggregates and equi-joins over the edges, whose number never
-grows; rounds are written to the shared folder, so lineage stays short. Only two
-numbers a round reach the driver. The rounds needed grow with the logarithm of the
-longest path.
+grows; rounds are written to the shared folder, so lineage stays short. They end when
+all edges are stars. Only one number a round reaches the driver. The rounds needed grow
+with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -14,30 +14,34 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are stars: each node has one edge to a centre, or is one."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    odd = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out = 1 and in = 1)")
+    return odd.agg(F.count("*")).head()[0] == 0
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every end of edges (u, v): component is the smallest id reachable."""
     spark = edges.sparkSession
 
-    def write(df: DataFrame) -> tuple[DataFrame, tuple]:
+    def write(df: DataFrame) -> DataFrame:
         path = new_path(spark, "stars")
         df.write.parquet(path)
-        out = spark.read.schema("u long, v long").parquet(path)
-        mark = out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        return out, tuple(mark)
+        return spark.read.schema("u long, v long").parquet(path)
 
-    now = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u <> v").distinct()
-    now, mark = write(now)
+    now = write(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
+        if settled(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
         large = both.join(least, both["u"] == least["c"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         linked = large.join(least, large["u"] == least["c"])
         small = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).distinct()
-        now, after = write(small)
-        if after == mark:
-            break
-        mark = after
+        now = write(small)
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

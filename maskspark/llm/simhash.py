@@ -261,8 +261,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
 
     The id must be a unique integer. Documents of one fingerprint count as alike. The
-    candidate links of the first forest are held against the sets; where some fail, those
-    of the next that would still join two components, and so on.
+    candidate links of the first forest are held against the sets, then those of the other
+    forests that would still join two components.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
@@ -284,19 +284,18 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             alike = [jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    proven = None
-    for k in range(forests):
-        now = edges.where(F.col("forest") == k).select("u", "v")
-        if proven is not None:
-            of_u, of_v = (labels.select(F.col("node").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "uv")
-            now = now.join(of_u, F.col("u") == F.col("n_u"), "left").join(of_v, F.col("v") == F.col("n_v"), "left")
-            now = now.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
-        both = now.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
-        good = stored(both.mapInArrow(compared, "u long, v long"), "proven-links")
-        proven = good if proven is None else proven.unionByName(good)
-        if k + 1 < forests:
-            labels = stored(components(proven), "labels")
-    return grouped(prints, lambda _: proven, bits).select(F.col("id").alias(id_col), "component_id")
+    def proven(of: DataFrame) -> DataFrame:
+        both = of.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
+        return stored(both.mapInArrow(compared, "u long, v long"), "proven-links")
+
+    good = proven(edges.where("forest = 0").select("u", "v"))
+    if forests > 1:
+        labels = stored(components(good), "labels")
+        of_u, of_v = (labels.select(F.col("node").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "uv")
+        rest = edges.where("forest > 0").join(of_u, F.col("u") == F.col("n_u"), "left").join(of_v, F.col("v") == F.col("n_v"), "left")
+        rest = proven(rest.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v"))
+        good = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)
+    return grouped(prints, lambda _: good, bits).select(F.col("id").alias(id_col), "component_id")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
