@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import memory_returned
+
 UNDETERMINED = "und"
 _NEVER = np.float32(-1e9)
 
@@ -162,17 +164,24 @@ def has_letter(text: str | None) -> bool:
 
 def predict(df: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, keep..., lang_pred string, score double): score is the probability of lang_pred."""
-    rows = df.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "lang_pred string, score double"])
+    kept = df.select(id_col, *keep)
+    again = text_col in keep and kept.schema[text_col].dataType.simpleString() == "string"  # texts are sent once
+    rows = kept if again else df.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"))
+    at_text = 1 + keep.index(text_col) if again else 1 + len(keep)
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"])
     if net is not None:
         net.pairs = None  # made anew in each process: small to send, large to use
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                found = classify(net, part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, *keep, "lang_pred", "score"])
+        with memory_returned():
+            for batch in batches:
+                yield from labelled(batch)
+
+    def labelled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 1_000):
+            part = batch.slice(at, 1_000)
+            found = classify(net, part.column(at_text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[: 1 + len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, *keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, ddl)
 

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import memory_returned
 from .pretokens import no_gc
 from .wordbpe import encoder
 
@@ -120,6 +121,10 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with memory_returned():
+            yield from packed(batches)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         base = TaskContext.get().partitionId() << 33
         ids_type, next_sequence, next_step = None, base, base

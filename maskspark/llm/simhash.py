@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stored
+from .common import bounded, memory_returned, stored
 from .components import components
 from .pretokens import no_gc
 
@@ -78,12 +78,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            with no_gc():
-                found = [fingerprint(t, words, bits) for t in batch.column(1).to_pylist()]
-            table = np.array(found, np.uint64).reshape(len(found), len(names)).view(np.int64)
-            counts = [pa.array([len(set(word_shingles(t, words))) for t in batch.column(1).to_pylist()], pa.int64())] if sizes else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + ["n_shingles"] * sizes)
+        with memory_returned():
+            for batch in batches:
+                with no_gc():
+                    found = [fingerprint(t, words, bits) for t in batch.column(1).to_pylist()]
+                table = np.array(found, np.uint64).reshape(len(found), len(names)).view(np.int64)
+                counts = [pa.array([len(set(word_shingles(t, words))) for t in batch.column(1).to_pylist()], pa.int64())] if sizes else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + ["n_shingles"] * sizes)
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)] + ["n_shingles long"] * sizes))
