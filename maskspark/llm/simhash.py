@@ -12,7 +12,8 @@ forests (components.py). Only counts by population count reach the driver.
 
 similar_documents() is for a similarity of shingle sets: fingerprints within a radius that
 this similarity hardly ever exceeds, in tiles whose set sizes allow it, give candidate
-links; those of the forests are then held against the whole sets.
+links; those of the forests are held against the whole sets, and then all others between
+fingerprints that are not yet in one component.
 
 The comparisons grow with the square of the number of different fingerprints; tiles
 only divide them by a constant.
@@ -124,14 +125,8 @@ def closest_forests(edges, forests: int):
     return np.concatenate(out)
 
 
-def tile_pair_forest(a, b, radius: int, block: int = 256, most_held: int = 1_000_000, forests: int = 1):
-    """Links (i, j, distance, k) between rows of a and b, or of a alone if b is None.
-
-    a and b: arrays of shape (rows, words) of unsigned 64-bit integers; rows of b count
-    on from a's. Of all pairs at most `radius` apart, a spanning forest of the least
-    distances (k = 0), and `forests` - 1 more of other links. Links are held until there
-    are many, then thinned to these.
-    """
+def near_blocks(a, b, radius: int, block: int = 256):
+    """(i, j, rows, others, distances) of blocks that may be near: a's i-th and b's j-th, or a's own with j >= i if b is None."""
     import numpy as np
 
     def ordered(x):
@@ -146,39 +141,111 @@ def tile_pair_forest(a, b, radius: int, block: int = 256, most_held: int = 1_000
     oa, xa, low_a, high_a = ordered(a)
     ob, xb, low_b, high_b = (oa, xa, low_a, high_a) if own else ordered(b)
     shift = 0 if own else len(a)
-    found, held = [np.empty((0, 3), np.int64)], 0
     for i in range(len(low_a)):
         x = xa[i * block : (i + 1) * block]
         gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
         near = np.flatnonzero(gap <= radius)
-        for j in near[near >= i] if own else near:
+        for j in near[near >= i].tolist() if own else near.tolist():
             y = xb[j * block : (j + 1) * block]
             distance = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
             for k in range(1, x.shape[1]):
                 distance += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-            hit = np.flatnonzero(distance.ravel() <= radius)
-            if own and i == j:
-                hit = hit[hit // len(y) < hit % len(y)]
-            if len(hit):
-                found.append(np.stack([oa[i * block + hit // len(y)], ob[j * block + hit % len(y)] + shift, distance.ravel()[hit]], axis=1).astype(np.int64))
-                held += len(hit)
-                if held > most_held:
-                    found = [closest_forests(np.concatenate(found), forests)[:, :3]]
-                    held = 0
+            yield i, j, oa[i * block : (i + 1) * block], ob[j * block : (j + 1) * block] + shift, distance
+
+
+def tile_pair_forest(a, b, radius: int, block: int = 256, most_held: int = 1_000_000, forests: int = 1):
+    """Links (i, j, distance, k) between rows of a and b, or of a alone if b is None.
+
+    a and b: arrays of shape (rows, words) of unsigned 64-bit integers; rows of b count
+    on from a's. Of all pairs at most `radius` apart, a spanning forest of the least
+    distances (k = 0), and `forests` - 1 more of other links. Links are held until there
+    are many, then thinned to these.
+    """
+    import numpy as np
+
+    found, held = [np.empty((0, 3), np.int64)], 0
+    for i, j, rows, others, distance in near_blocks(a, b, radius, block):
+        hit = np.flatnonzero(distance.ravel() <= radius)
+        if b is None and i == j:
+            hit = hit[hit // len(others) < hit % len(others)]
+        if len(hit):
+            found.append(np.stack([rows[hit // len(others)], others[hit % len(others)], distance.ravel()[hit]], axis=1).astype(np.int64))
+            held += len(hit)
+            if held > most_held:
+                found = [closest_forests(np.concatenate(found), forests)[:, :3]]
+                held = 0
     return closest_forests(np.concatenate(found), forests)
 
 
-def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, level: str | None = None, forests: int = 1) -> DataFrame:
-    """(u long, v long, distance int, forest int) between ids of `prints` (id, f0, ...), one row per fingerprint.
+def open_ends(a, b, labels, radius: int, most_rows: int, block: int = 256):
+    """(part, rows, others): the ends of all pairs at most `radius` apart with different labels.
 
-    Spanning forests of the links of each pair of tiles. level names an integer column:
-    only rows of the same or neighbouring levels are linked then.
+    a and b as in tile_pair_forest; labels are a's, then b's. A part has at most `most_rows`
+    rows a side (a block at least); others is empty if its rows are to be held against each other.
+    """
+    import numpy as np
+
+    many = max(1, most_rows // block)
+    parts: dict[tuple[int, int], tuple[list, list]] = {}
+    for i, j, rows, others, distance in near_blocks(a, b, radius, block):
+        hit = distance <= radius
+        if not hit.any():
+            continue
+        hit &= labels[rows][:, None] != labels[others][None, :]
+        if hit.any():
+            left, right = parts.setdefault((i // many, j // many), ([], []))
+            left.append(rows[hit.any(axis=1)])
+            right.append(others[hit.any(axis=0)])
+    for (i, j), (left, right) in parts.items():
+        if b is None and i == j:
+            left, right = left + right, [np.empty(0, np.int64)]
+        yield i << 20 | j, np.unique(np.concatenate(left)), np.unique(np.concatenate(right))
+
+
+def alike_pairs(prints, labels, split: int, sets: list[bytes], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of similar sets that join all labels that such links can join.
+
+    All pairs of different labels and at most `radius` apart are held against the sets, but
+    those that earlier links have joined: rows before `split` with rows from it on, or
+    all with each other if no rows are before it.
     """
     import numpy as np
 
+    group = np.unique(labels, return_inverse=True)[1]
+    sizes = np.array([len(x) // 8 for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, at, times = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True, return_counts=True)
+    within = np.concatenate([[0], np.cumsum(times[at] > 1)])
+    shared = within[starts[1:]] - within[starts[:-1]]  # of hashes that no other row has, no pair has any in common
+    marked = np.zeros(len(times), bool)
+    out = []
+    for i in range(split or len(sets)):
+        low = split or i + 1
+        most = np.minimum(shared[i], shared[low:])
+        near = np.bitwise_count(prints[i] ^ prints[low:]).sum(axis=1) <= radius
+        j = low + np.flatnonzero(near & (group[low:] != group[i]) & (most / np.maximum(1, sizes[i] + sizes[low:] - most) >= similarity))
+        if not len(j):
+            continue
+        ends = np.cumsum(sizes[j])
+        own = at[starts[i] : starts[i + 1]]
+        marked[own] = True
+        common = np.concatenate([[0], np.cumsum(marked[at[np.repeat(starts[j] - ends + sizes[j], sizes[j]) + np.arange(ends[-1])]])])
+        marked[own] = False
+        common = common[ends] - common[ends - sizes[j]]
+        for k in j[common / np.maximum(1, sizes[i] + sizes[j] - common) >= similarity].tolist():
+            if group[k] != group[i]:
+                out.append((i, k))
+                group[group == group[k]] = group[i]
+    return out
+
+
+def tile_pairs(prints: DataFrame, radius: int, bits: int, tile_rows: int, level: str | None = None, label: str | None = None) -> tuple[DataFrame, list[int]]:
+    """(pair long, tile int, ids, words, labels binary): two rows a pair of tiles to compare, or one for a tile itself; and the tiles' levels."""
+    import numpy as np
+
     names = [f"f{k}" for k in range(bits // 64)]
     ones = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
-    rows = prints.select(F.col("id").cast("long"), *names, ones.cast("int").alias("ones"), F.col(level).cast("int").alias("level") if level else F.lit(0).alias("level"))
+    rows = prints.select(F.col("id").cast("long"), *names, ones.cast("int").alias("ones"), F.col(level).cast("int").alias("level") if level else F.lit(0).alias("level"), *([F.col(label).cast("long").alias("label")] if label else []))
     count_of = {(r["level"], r["ones"]): r["n"] for r in rows.groupBy("level", "ones").agg(F.count("*").alias("n")).collect()}
     # Tiles: neighbouring population counts of a level together up to tile_rows; large ones in several.
     tiles_: list[list[int]] = []  # level, least and greatest population count
@@ -199,14 +266,13 @@ def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_76
     at = (F.col("level") - base) * (bits + 1) + F.col("ones")
     array_of = lambda x: F.array(*map(F.lit, x))
     tile = F.get(array_of([first.get(k, 0) for k in every]), at) + F.pmod(F.xxhash64(*names), F.get(array_of([several.get(k, 1) for k in every]), at)).cast("int")
-    width = len(names)
 
     def packed(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy().astype("<i8")
         words = np.stack([table.column(n).to_numpy() for n in names], axis=1).astype("<i8")
-        return pa.table({"tile": table.column("tile").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary())})
+        return pa.table({"tile": table.column("tile").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary()), "labels": pa.array([table.column("label").to_numpy().astype("<i8").tobytes() if label else b""], pa.binary())})
 
-    tiles = rows.select("id", *names, tile.alias("tile")).groupBy("tile").applyInArrow(packed, "tile int, ids binary, words binary")
+    tiles = rows.select("id", *names, *(["label"] if label else []), tile.alias("tile")).groupBy("tile").applyInArrow(packed, "tile int, ids binary, words binary, labels binary")
     tiles = stored(tiles, "tiles")
     levels, lows, highs = (array_of([t[k] for t in tiles_]) for k in range(3))
     mine = F.col("tile")
@@ -214,19 +280,75 @@ def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_76
         F.sequence(F.lit(0), F.lit(len(tiles_) - 1)),
         lambda t: (F.abs(F.get(levels, t) - F.get(levels, mine)) <= 1) & (F.get(lows, t) - F.get(highs, mine) <= radius) & (F.get(lows, mine) - F.get(highs, t) <= radius),
     )
-    sides = tiles.select("tile", "ids", "words", F.explode(other).alias("other"))
-    sides = sides.select((F.least("tile", "other").cast("long") * len(tiles_) + F.greatest("tile", "other")).alias("pair"), "tile", "ids", "words")
+    sides = tiles.select("tile", "ids", "words", "labels", F.explode(other).alias("other"))
+    sides = sides.select((F.least("tile", "other").cast("long") * len(tiles_) + F.greatest("tile", "other")).alias("pair"), "tile", "ids", "words", "labels")
+    parts = min(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(tiles_) * (len(tiles_) + 1) // 2)
+    return sides.repartition(parts, "pair"), [t[0] for t in tiles_]
+
+
+def unpacked(table: pa.Table, width: int):
+    """Of a pair of tiles: the ids of both, a list of each one's fingerprints, and the labels of both."""
+    import numpy as np
+
+    table = table.sort_by("tile")
+    ids, labels = (np.concatenate([np.frombuffer(x, "<i8") for x in table.column(n).to_pylist()]) for n in ("ids", "labels"))
+    words = [np.frombuffer(x, "<u8").reshape(-1, width) for x in table.column("words").to_pylist()]
+    return ids, [*words, None][:2], labels
+
+
+def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, level: str | None = None) -> DataFrame:
+    """(u long, v long, distance int) between ids of `prints` (id, f0, ...), one row per fingerprint.
+
+    Spanning forests of the links of each pair of tiles. level names an integer column:
+    only rows of the same or neighbouring levels are linked then.
+    """
+    import numpy as np
+
+    sides, _ = tile_pairs(prints, radius, bits, tile_rows, level)
 
     def compared(table: pa.Table) -> pa.Table:
-        table = table.sort_by("tile")
-        ids = [np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()]
-        words = [np.frombuffer(x, "<u8").reshape(-1, width) for x in table.column("words").to_pylist()]
-        all_ids = np.concatenate(ids)
-        found = np.array(tile_pair_forest(words[0], words[1] if len(words) > 1 else None, radius, forests=forests), np.int64)
-        return pa.table({"u": all_ids[found[:, 0]], "v": all_ids[found[:, 1]], "distance": found[:, 2].astype(np.int32), "forest": found[:, 3].astype(np.int32)})
+        ids, words, _ = unpacked(table, bits // 64)
+        found = np.array(tile_pair_forest(*words, radius), np.int64)
+        return pa.table({"u": ids[found[:, 0]], "v": ids[found[:, 1]], "distance": found[:, 2].astype(np.int32)})
 
-    parts = min(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(tiles_) * (len(tiles_) + 1) // 2)
-    return sides.repartition(parts, "pair").groupBy("pair").applyInArrow(compared, "u long, v long, distance int, forest int")
+    return sides.groupBy("pair").applyInArrow(compared, "u long, v long, distance int")
+
+
+def open_links(prints: DataFrame, sets: DataFrame, radius: int, bits: int, tile_rows: int, similarity: float, most_rows) -> DataFrame:
+    """(u long, v long): links of similar sets that join all components (label) that links within the radius can join.
+
+    prints: (id, f0, ..., level, label); sets: (node, shingles), of all ends of links at least.
+    most_rows gives the rows a side, by level, that are held against each other in one task.
+    """
+    import numpy as np
+
+    sides, levels = tile_pairs(prints, radius, bits, tile_rows, "level", "label")
+    room = [most_rows(n) for n in levels]
+    width = bits // 64
+
+    def opened(table: pa.Table) -> pa.Table:
+        ids, words, labels = unpacked(table, width)
+        both = np.concatenate([w for w in words if w is not None])
+        out = [(np.empty(0, np.int64), 0, 0)]
+        for part, *ends in open_ends(*words, labels, radius, min(room[t] for t in table.column("tile").to_pylist())):
+            out += [(rows, part, side) for side, rows in enumerate(ends)]
+        rows = np.concatenate([x[0] for x in out])
+        parts, side = (np.repeat([x[k] for x in out], [len(x[0]) for x in out]) for k in (1, 2))
+        pair = np.full(len(rows), table.column("pair")[0].as_py())
+        return pa.table({"pair": pair, "part": parts, "side": side.astype(np.int32), "end": ids[rows], "label": labels[rows], "print": pa.array([both[r].tobytes() for r in rows], pa.binary())})
+
+    def held(table: pa.Table) -> pa.Table:
+        with memory_returned():
+            table = table.sort_by([("side", "ascending"), ("end", "ascending")])
+            side, ends, labels = (table.column(n).to_numpy() for n in ("side", "end", "label"))
+            prints = np.frombuffer(b"".join(table.column("print").to_pylist()), "<u8").reshape(-1, width)
+            split = int((side == 0).sum()) % len(side)
+            found = np.array(alike_pairs(prints, labels, split, table.column("shingles").to_pylist(), radius, similarity), np.int64).reshape(-1, 2)
+            return pa.table({"u": ends[found[:, 0]], "v": ends[found[:, 1]]})
+
+    ends = stored(sides.groupBy("pair").applyInArrow(opened, "pair long, part long, side int, end long, label long, print binary"), "open-ends")
+    rows = sets.join(bounded(ends), F.col("node") == F.col("end")).drop("node")
+    return stored(rows.groupBy("pair", "part").applyInArrow(held, "u long, v long"), "proven-links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 3, tile_rows: int = 32_768) -> DataFrame:
@@ -258,12 +380,12 @@ def radius_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
     return round(bits * turned + deviations * math.sqrt(bits * turned * (1 - turned)))
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768, forests: int = 4) -> DataFrame:
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768) -> DataFrame:
     """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
 
     The id must be a unique integer. Documents of one fingerprint count as alike. The
-    candidate links of the first forest are held against the sets, then those of the other
-    forests that would still join two components.
+    candidate links of the forests are held against the sets, then all candidate links that
+    would still join two components.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
@@ -272,8 +394,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = stored(prints.withColumn("level", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).cast("int")), "fingerprints")
     first = prints.groupBy(*names).agg(F.min(F.struct("id", "level")).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.level").alias("level"))
     first = stored(first.withColumn("id", F.xxhash64(*names)), "first-documents")
-    edges = links(first, radius_for(similarity, bits), bits, tile_rows, "level", forests)
-    edges = stored(edges.groupBy("u", "v").agg(F.min("forest").alias("forest")), "candidate-links")
+    radius = radius_for(similarity, bits)
+    edges = stored(links(first, radius, bits, tile_rows, "level").select("u", "v").distinct(), "candidate-links")
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     wanted = stored(ends.join(first, ends["node"] == first["id"]).select("node", F.col("least").alias("wanted")), "linked-documents")
     sets = shingle_sets(docs.join(bounded(wanted), F.col("id") == F.col("wanted")).select("node", "text"), "node", "text", words)
@@ -285,17 +407,11 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             alike = [jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    def proven(of: DataFrame) -> DataFrame:
-        both = of.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
-        return stored(both.mapInArrow(compared, "u long, v long"), "proven-links")
-
-    good = proven(edges.where("forest = 0").select("u", "v"))
-    if forests > 1:
-        labels = stored(components(good), "labels")
-        of_u, of_v = (labels.select(F.col("node").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")) for c in "uv")
-        rest = edges.where("forest > 0").join(of_u, F.col("u") == F.col("n_u"), "left").join(of_v, F.col("v") == F.col("n_v"), "left")
-        rest = proven(rest.where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v"))
-        good = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)
+    both = edges.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
+    labels = stored(components(stored(both.mapInArrow(compared, "u long, v long"), "proven-links")), "labels")
+    labelled = first.join(labels, first["id"] == labels["node"], "left").select("id", *names, "level", F.coalesce("component", "id").alias("label"))
+    rest = open_links(labelled, sets, radius, bits, tile_rows, similarity, lambda n: math.ceil(2_000_000 / math.exp((n + 1) * step)))
+    good = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)
     return grouped(prints, lambda _: good, bits).select(F.col("id").alias(id_col), "component_id")
 
 

@@ -182,3 +182,16 @@ def test_similar_documents_like_brute_force(spark):
     want = [find(i) for i in range(len(texts))]
     assert sum(got[i] != w for i, w in enumerate(want)) <= 1  # a fingerprint may be further off than its similarity
     assert all(want[i] == want[c] for i, c in got.items())  # and no link is wrong
+
+
+@pytest.mark.parametrize("tile", [32_768, 400])
+def test_pairs_amid_a_template(spark, tile):
+    """1,400 documents of one template, at 0.70 of each other and so not alike, and among them 60 pairs at 0.84."""
+    template = [f"t{i}" for i in range(164)]
+    texts = [template + [f"d{n}-{i}" for i in range(35)] for n in range(1_400)]
+    texts += [t[:-17] + [f"e{n}-{i}" for i in range(17)] for n, t in enumerate(texts[:60])]
+    rows = stored(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "test-template")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows, tile_rows=tile).collect()}
+    prints = np.array([simhash.fingerprint(" ".join(t), 5, 128) for t in texts], np.uint64)
+    near = np.bitwise_count(prints[:60] ^ prints[1_400:]).sum(axis=1) <= simhash.radius_for(0.8, 128)
+    assert near.sum() >= 55 and got == {i: i - 1_400 if i >= 1_400 and near[i - 1_400] else i for i in range(1_460)}
