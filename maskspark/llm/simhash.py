@@ -10,7 +10,7 @@ a spanning forest of its links, of the least distances: fewer links than it has
 fingerprints, and no component is lost. Components are then worked out over all
 forests (components.py). Only counts by population count reach the driver.
 
-similar_documents() is for a similarity of shingle sets: fingerprints within a radius that
+similar_documents() is for a similarity of shingle sets: fingerprints of sets within a radius that
 this similarity hardly ever exceeds, in tiles whose set sizes allow it, give candidate
 links; those of the forests are held against the whole sets, and then all others between
 fingerprints that are not yet in one component.
@@ -46,12 +46,12 @@ def word_shingles(text: str, words: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(found[k:] for k in range(words)))))
 
 
-def fingerprint(text: str, words: int = 3, bits: int = 64) -> list[int]:
-    """bits / 64 unsigned integers; the k-th from XXH64 with seed 42 + k."""
+def fingerprint(text: str, words: int = 3, bits: int = 64, repeats: bool = True) -> list[int]:
+    """bits / 64 unsigned integers; the k-th from XXH64 with seed 42 + k. Without repeats, each shingle counts once."""
     import numpy as np
     import xxhash
 
-    shingles = word_shingles(text, words)
+    shingles = word_shingles(text, words) if repeats else list(set(word_shingles(text, words)))
     n, out = len(shingles), []
     for k in range(bits // 64):
         total = np.zeros(64, np.int64)
@@ -71,7 +71,8 @@ def fingerprint(text: str, words: int = 3, bits: int = 64) -> list[int]:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, sizes: bool = False) -> DataFrame:
     """(id_col, f0 long, f1 long, ...): the fingerprints' words as signed integers.
 
-    With sizes, also n_shingles long: how many different shingles a text has.
+    With sizes, also n_shingles long: how many different shingles a text has; the
+    fingerprints are of these then, each counted once.
     """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
@@ -82,7 +83,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         with memory_returned():
             for batch in batches:
                 with no_gc():
-                    found = [fingerprint(t, words, bits) for t in batch.column(1).to_pylist()]
+                    found = [fingerprint(t, words, bits, repeats=not sizes) for t in batch.column(1).to_pylist()]
                 table = np.array(found, np.uint64).reshape(len(found), len(names)).view(np.int64)
                 counts = [pa.array([len(set(word_shingles(t, words))) for t in batch.column(1).to_pylist()], pa.int64())] if sizes else []
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + ["n_shingles"] * sizes)

@@ -195,3 +195,18 @@ def test_pairs_amid_a_template(spark, tile):
     prints = np.array([simhash.fingerprint(" ".join(t), 5, 128) for t in texts], np.uint64)
     near = np.bitwise_count(prints[:60] ^ prints[1_400:]).sum(axis=1) <= simhash.radius_for(0.8, 128)
     assert near.sum() >= 55 and got == {i: i - 1_400 if i >= 1_400 and near[i - 1_400] else i for i in range(1_460)}
+
+
+def test_copies_with_repeated_lines(spark):
+    """A line that stands once or twenty times makes no difference to sets."""
+    rng = random.Random(3)
+    texts = []
+    for n in range(40):
+        words = [f"w{n}-{rng.randrange(10**6)}" for _ in range(300)]
+        line = [f"line{n}-{i}" for i in range(25)]
+        texts += [" ".join(words + line * k) for k in (1, 5, 10, 20)]
+    sets = [set(simhash.word_shingles(t, 5)) for t in texts]
+    assert all(len(sets[i // 4 * 4] & s) / len(sets[i // 4 * 4] | s) > 0.98 for i, s in enumerate(sets))
+    rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-repeats")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
+    assert got == {i: i // 4 * 4 for i in range(160)}
