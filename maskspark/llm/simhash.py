@@ -68,11 +68,18 @@ def fingerprint(text: str, words: int = 3, bits: int = 64, repeats: bool = True)
     return out
 
 
+def set_hash(shingles: set[bytes]) -> bytes:
+    """128 bits of a set of shingles, which hold no line ends."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b"\n".join(sorted(shingles)))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, sizes: bool = False) -> DataFrame:
     """(id_col, f0 long, f1 long, ...): the fingerprints' words as signed integers.
 
-    With sizes, also n_shingles long: how many different shingles a text has; the
-    fingerprints are of these then, each counted once.
+    With sizes, also n_shingles long and set_hash binary: how many different shingles a text
+    has, and a hash of their set; the fingerprints are of these then, each counted once.
     """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
@@ -85,11 +92,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 with no_gc():
                     found = [fingerprint(t, words, bits, repeats=not sizes) for t in batch.column(1).to_pylist()]
                 table = np.array(found, np.uint64).reshape(len(found), len(names)).view(np.int64)
-                counts = [pa.array([len(set(word_shingles(t, words))) for t in batch.column(1).to_pylist()], pa.int64())] if sizes else []
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + ["n_shingles"] * sizes)
+                sets = [set(word_shingles(t, words)) for t in batch.column(1).to_pylist()] if sizes else []
+                counts = [pa.array(map(len, sets), pa.int64()), pa.array(map(set_hash, sets), pa.binary())] if sizes else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + ["n_shingles", "set_hash"] * sizes)
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)] + ["n_shingles long"] * sizes))
+    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)] + ["n_shingles long", "set_hash binary"] * sizes))
 
 
 def closest_forest(edges):
@@ -266,7 +274,7 @@ def tile_pairs(prints: DataFrame, radius: int, bits: int, tile_rows: int, level:
     every = [(of, c) for of in range(base, max((of for of, _ in count_of), default=0) + 1) for c in range(bits + 1)]
     at = (F.col("level") - base) * (bits + 1) + F.col("ones")
     array_of = lambda x: F.array(*map(F.lit, x))
-    tile = F.get(array_of([first.get(k, 0) for k in every]), at) + F.pmod(F.xxhash64(*names), F.get(array_of([several.get(k, 1) for k in every]), at)).cast("int")
+    tile = F.get(array_of([first.get(k, 0) for k in every]), at) + F.pmod(F.xxhash64("id", *names), F.get(array_of([several.get(k, 1) for k in every]), at)).cast("int")
 
     def packed(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy().astype("<i8")
@@ -298,7 +306,7 @@ def unpacked(table: pa.Table, width: int):
 
 
 def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, level: str | None = None) -> DataFrame:
-    """(u long, v long, distance int) between ids of `prints` (id, f0, ...), one row per fingerprint.
+    """(u long, v long, distance int) between ids of `prints` (id, f0, ...), one row per id.
 
     Spanning forests of the links of each pair of tiles. level names an integer column:
     only rows of the same or neighbouring levels are linked then.
@@ -358,14 +366,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id reachable, its own included.
     """
     prints = fingerprints(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)), "id", text_col, words, bits)
-    out = grouped(stored(prints, "fingerprints"), lambda nodes: links(nodes, radius, bits, tile_rows), bits)
+    out = grouped(stored(prints, "fingerprints"), lambda nodes: links(nodes, radius, bits, tile_rows), [f"f{k}" for k in range(bits // 64)])
     return out.withColumnRenamed("id", id_col)
 
 
-def grouped(prints: DataFrame, edges_of, bits: int) -> DataFrame:
-    """(id, f0 ..., component_id) for stored prints (id, f0 ...); edges_of: links between fingerprints."""
-    names = [f"f{k}" for k in range(bits // 64)]
-    node = F.col("f0") if bits == 64 else F.xxhash64(*names)
+def grouped(prints: DataFrame, edges_of, names: list[str]) -> DataFrame:
+    """(id, names ..., component_id) for stored prints (id, names ...): rows equal in names are one node; edges_of: links between nodes."""
+    node = F.col("f0") if names == ["f0"] else F.xxhash64(*names)
     nodes = stored(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("id", node), "distinct-prints")
     found = components(edges_of(nodes.drop("least")))
     labels = nodes.join(found, nodes["id"] == found["node"], "left").select(*names, "least", F.coalesce("component", "id").alias("component"))
@@ -384,7 +391,7 @@ def radius_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768) -> DataFrame:
     """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
 
-    The id must be a unique integer. Documents of one fingerprint count as alike. The
+    The id must be a unique integer. Only documents of equal sets count as alike unproven. The
     candidate links of the forests are held against the sets, then all candidate links that
     would still join two components.
     """
@@ -393,8 +400,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = fingerprints(docs, "id", "text", words, bits, sizes=True)
     step = max(-math.log(similarity), 1e-6) * (1 + 1e-9)  # sets of this similarity are one level apart at most
     prints = stored(prints.withColumn("level", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).cast("int")), "fingerprints")
-    first = prints.groupBy(*names).agg(F.min(F.struct("id", "level")).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.level").alias("level"))
-    first = stored(first.withColumn("id", F.xxhash64(*names)), "first-documents")
+    keys = [*names, "set_hash"]
+    first = prints.groupBy(*keys).agg(F.min(F.struct("id", "level")).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.level").alias("level"), F.xxhash64(*keys).alias("id"))
+    first = stored(first, "first-documents")
     radius = radius_for(similarity, bits)
     edges = stored(links(first, radius, bits, tile_rows, "level").select("u", "v").distinct(), "candidate-links")
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
@@ -413,7 +421,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = first.join(labels, first["id"] == labels["node"], "left").select("id", *names, "level", F.coalesce("component", "id").alias("label"))
     rest = open_links(labelled, sets, radius, bits, tile_rows, similarity, lambda n: math.ceil(2_000_000 / math.exp((n + 1) * step)))
     good = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)
-    return grouped(prints, lambda _: good, bits).select(F.col("id").alias(id_col), "component_id")
+    return grouped(prints, lambda _: good, keys).select(F.col("id").alias(id_col), "component_id")
 
 
 def jaccard(a: bytes, b: bytes) -> float:

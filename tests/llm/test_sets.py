@@ -210,3 +210,14 @@ def test_copies_with_repeated_lines(spark):
     rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-repeats")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
     assert got == {i: i // 4 * 4 for i in range(160)}
+
+
+def test_equal_fingerprints_prove_nothing(spark, monkeypatch):
+    """Where all fingerprints are equal, sets alone decide."""
+    real = simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: real(*a, **b).withColumns({"f0": F.lit(0).cast("long"), "f1": F.lit(0).cast("long")}))
+    texts = [[f"w{n}-{i}" for i in range(90)] for n in range(60)]
+    texts = [" ".join(t) for t in texts] + [" ".join(["other", *t]) for t in texts] + [" ".join(texts[7]) + "\n"]
+    rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-equal")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows, tile_rows=50).collect()}
+    assert got == {i: i % 60 for i in range(120)} | {120: 7}
