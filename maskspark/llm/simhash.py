@@ -75,11 +75,12 @@ def set_hash(shingles: set[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b"\n".join(sorted(shingles)))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, sizes: bool = False) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, sizes: int = 0) -> DataFrame:
     """(id_col, f0 long, f1 long, ...): the fingerprints' words as signed integers.
 
     With sizes, also n_shingles long and set_hash binary: how many different shingles a text
-    has, and a hash of their set; the fingerprints are of these then, each counted once.
+    has, and a hash of their set; and less_one array<binary>: for sets of at most `sizes`, the
+    hashes of the set less one of its shingles. The fingerprints are of sets then.
     """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
@@ -93,11 +94,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     found = [fingerprint(t, words, bits, repeats=not sizes) for t in batch.column(1).to_pylist()]
                 table = np.array(found, np.uint64).reshape(len(found), len(names)).view(np.int64)
                 sets = [set(word_shingles(t, words)) for t in batch.column(1).to_pylist()] if sizes else []
-                counts = [pa.array(map(len, sets), pa.int64()), pa.array(map(set_hash, sets), pa.binary())] if sizes else []
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + ["n_shingles", "set_hash"] * sizes)
+                less = [[set_hash(s - {x}) for x in s] if 1 < len(s) <= sizes else [] for s in sets]
+                counts = [pa.array(map(len, sets), pa.int64()), pa.array(map(set_hash, sets), pa.binary()), pa.array(less, pa.list_(pa.binary()))] if sizes else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + (["n_shingles", "set_hash", "less_one"] if sizes else []))
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)] + ["n_shingles long", "set_hash binary"] * sizes))
+    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)] + (["n_shingles long", "set_hash binary", "less_one array<binary>"] if sizes else [])))
 
 
 def closest_forest(edges):
@@ -382,26 +384,35 @@ def grouped(prints: DataFrame, edges_of, names: list[str]) -> DataFrame:
     return prints.join(labels, same).select("id", *names, "component_id")
 
 
-def radius_for(similarity: float, bits: int, deviations: float = 3.0) -> int:
+def radius_for(similarity: float, bits: int, deviations: float = 4.0) -> int:
     """The distance that fingerprints of sets of this Jaccard similarity seldom exceed."""
     turned = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * turned + deviations * math.sqrt(bits * turned * (1 - turned)))
 
 
+def most_exact(similarity: float) -> int:
+    """The most shingles of sets of which no two are as similar as this, unless one is the other and one shingle more."""
+    n = 1
+    while n / (n + 2) < similarity and n < 16:
+        n += 1
+    return n
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768) -> DataFrame:
     """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
 
     The id must be a unique integer. Only documents of equal sets count as alike unproven. The
     candidate links of the forests are held against the sets, then all candidate links that
-    would still join two components.
+    would still join two components. Sets of few shingles (most_exact) need no candidates:
+    those that are another set less one shingle are joined by their hashes.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
-    prints = fingerprints(docs, "id", "text", words, bits, sizes=True)
+    prints = fingerprints(docs, "id", "text", words, bits, sizes=most_exact(similarity))
     step = max(-math.log(similarity), 1e-6) * (1 + 1e-9)  # sets of this similarity are one level apart at most
     prints = stored(prints.withColumn("level", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).cast("int")), "fingerprints")
     keys = [*names, "set_hash"]
-    first = prints.groupBy(*keys).agg(F.min(F.struct("id", "level")).alias("first")).select(*names, F.col("first.id").alias("least"), F.col("first.level").alias("level"), F.xxhash64(*keys).alias("id"))
+    first = prints.groupBy(*keys).agg(F.min(F.struct("id", "level", "less_one")).alias("first")).select(*keys, F.col("first.id").alias("least"), F.col("first.level").alias("level"), F.col("first.less_one").alias("less_one"), F.xxhash64(*keys).alias("id"))
     first = stored(first, "first-documents")
     radius = radius_for(similarity, bits)
     edges = stored(links(first, radius, bits, tile_rows, "level").select("u", "v").distinct(), "candidate-links")
@@ -417,7 +428,10 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     both = edges.join(left, F.col("u") == F.col("na")).join(right, F.col("v") == F.col("nb")).select("u", "v", "sa", "sb")
-    labels = stored(components(stored(both.mapInArrow(compared, "u long, v long"), "proven-links")), "labels")
+    short = first.select(F.col("id").alias("u"), F.explode("less_one").alias("less"), F.size("less_one").alias("n")).where((F.col("n") - 1) / F.greatest("n", F.lit(1)) >= similarity)
+    wholes = first.where(F.col("level") <= F.floor(F.log(F.lit(most_exact(similarity))) / step)).select(F.col("id").alias("v"), "set_hash")
+    short = stored(short.join(wholes, F.col("less") == F.col("set_hash")).select("u", "v"), "short-links")
+    labels = stored(components(stored(both.mapInArrow(compared, "u long, v long").unionByName(short), "proven-links")), "labels")
     labelled = first.join(labels, first["id"] == labels["node"], "left").select("id", *names, "level", F.coalesce("component", "id").alias("label"))
     rest = open_links(labelled, sets, radius, bits, tile_rows, similarity, lambda n: math.ceil(2_000_000 / math.exp((n + 1) * step)))
     good = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)

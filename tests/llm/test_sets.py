@@ -221,3 +221,11 @@ def test_equal_fingerprints_prove_nothing(spark, monkeypatch):
     rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-equal")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows, tile_rows=50).collect()}
     assert got == {i: i % 60 for i in range(120)} | {120: 7}
+
+
+def test_short_texts_are_exact(spark):
+    """2,000 pairs of 9 words and the first 8 of them: similarity 0.8, and one fingerprint in thirty is over 32 bits off."""
+    texts = [" ".join(f"w{n}-{i}" for i in range(k)) for n in range(2_000) for k in (9, 8)]
+    rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-short")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
+    assert got == {i: i // 2 * 2 for i in range(4_000)} and simhash.most_exact(0.8) == 8
