@@ -34,16 +34,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the smallest doc_id."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8), the smallest doc_id; of rows that repeat it, one."""
     key = F.xxhash64("doc_id", F.col("text"))
     keyed = docs.withColumn("_key", key)
     groups = simhash.similar_documents(keyed, "_key", "text")
-    ids = keyed.select(F.col("_key").alias("_k"), "doc_id")
-    found = groups.join(ids, groups["_key"] == ids["_k"])
+    ids = keyed.select(F.col("_key").alias("_k"), "doc_id").dropDuplicates(["_k"])
+    found = groups.dropDuplicates(["_key"]).join(ids, groups["_key"] == ids["_k"])
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     first = found.groupBy("component_id").agg(F.min(F.struct(last.alias("id"), F.col("_key").alias("key"))).alias("first"))
     kept = first.select(F.col("first.key").alias("_kept"))
-    return keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi").drop("_key")
+    return keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

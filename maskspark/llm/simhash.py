@@ -401,7 +401,7 @@ def most_exact(similarity: float) -> int:
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768) -> DataFrame:
     """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
 
-    The id must be a unique integer. Only documents of equal sets count as alike unproven. The
+    The id must be an integer, unique but for repeated rows. Only documents of equal sets count as alike unproven. The
     candidate links of the forests are held against the sets, then all candidate links that
     would still join two components. Sets of few shingles (most_exact) need no candidates:
     those that are another set less one shingle are joined by their hashes.
@@ -418,7 +418,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stored(links(first, radius, bits, tile_rows, "level").select("u", "v").distinct(), "candidate-links")
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     wanted = stored(ends.join(first, ends["node"] == first["id"]).select("node", F.col("least").alias("wanted")), "linked-documents")
-    sets = shingle_sets(docs.join(bounded(wanted), F.col("id") == F.col("wanted")).select("node", "text"), "node", "text", words)
+    sets = shingle_sets(docs.join(bounded(wanted), F.col("id") == F.col("wanted")).select("node", "text").dropDuplicates(["node"]), "node", "text", words)
     sets = stored(sets, "shingle-sets")
     left, right = (sets.select(F.col("node").alias(f"n{k}"), F.col("shingles").alias(f"s{k}")) for k in "ab")
 

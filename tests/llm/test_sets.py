@@ -229,3 +229,13 @@ def test_short_texts_are_exact(spark):
     rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-short")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
     assert got == {i: i // 2 * 2 for i in range(4_000)} and simhash.most_exact(0.8) == 8
+
+
+def test_repeated_rows_leave_one(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    near, alone = (1, " ".join(words)), (3, "a text with no copy of any kind")
+    rows = spark.createDataFrame([near, near, near, (2, " ".join(words + ["more"])), alone, alone, (4, None), (4, None)], "doc_id long, text string")
+    out = corpus_pipeline.drop_near_copies(spark, stored(rows, "test-rows"), "")
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [near, alone, (4, "")] and out.columns == ["doc_id", "text"]
