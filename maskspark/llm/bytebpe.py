@@ -6,7 +6,8 @@ heap of candidate merges runs over a doubly linked list of bytes. Pre-tokens rep
 each process keeps what it has worked out, up to a bound.
 
 Edge cases: a null text counts as empty and has no ids; an empty text has no ids; null
-ids decode to null; repeated rows and ids give a row each; other columns are ignored.
+ids decode to null; repeated rows and ids give a row each; other columns are ignored; no
+rows give no rows.
 Text is encoded as ordinary text: strings of special tokens have no meaning.
 """
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import memory_returned
 from .pretokens import LONGEST_KEPT, chunk_lists, no_gc
 
 
@@ -103,19 +105,18 @@ class PerfectHash:
 
 
 class ByteBPE:
-    def __init__(self, path: str | None = None, pattern: str | None = None, cache: int = 400_000):
+    def __init__(self, path: str | None = None, pattern: str | None = None, cache: int = 200_000):
         import regex
 
-        if pattern is None:
-            from public_tokenizers import PATTERN as pattern
+        from public_tokenizers import PATTERN
+
+        pattern = pattern or PATTERN
+        self.one_chunk = pattern != PATTERN
         self.ranks = read_ranks(path or default_path())
         tokens = list(self.ranks)
         self.hash = PerfectHash(tokens)
         self.at_slot = [tokens[i] for i in self.hash.slots]
         self.id_at_slot = [self.ranks[t] for t in self.at_slot]
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
         self.pre_tokens = regex.compile(pattern).findall
         self.chunks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -173,7 +174,7 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         out = []
-        for chunks in chunk_lists(text):
+        for chunks in chunk_lists(text, self.one_chunk):
             try:
                 out.append(b"".join(map(self.chunks.__getitem__, chunks)))
                 continue
@@ -191,11 +192,23 @@ class ByteBPE:
             out.append(b"".join(map(get, chunks)))
         return b"".join(out)
 
+
+
+class Decoder:
+    """Ids to bytes: all that decoding needs is a list of the tokens."""
+
+    def __init__(self, path: str | None = None):
+        ranks = read_ranks(path or default_path())
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
 _MADE: dict[tuple, ByteBPE] = {}
+_DECODERS: dict[str | None, Decoder] = {}
 
 
 def codec(path: str | None = None, pattern: str | None = None) -> ByteBPE:
@@ -205,16 +218,26 @@ def codec(path: str | None = None, pattern: str | None = None) -> ByteBPE:
     return _MADE[path, pattern]
 
 
+def decoder(path: str | None = None) -> Decoder:
+    """The process's decoder for a rank file."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _DECODERS[path]
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id_col, n_tokens long, ids binary): ids as little-endian unsigned 32-bit integers."""
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in batches:
-            with no_gc():
-                ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+        with memory_returned():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1_000):
+                    part = batch.slice(at, 1_000)
+                    with no_gc():
+                        ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary")
@@ -226,9 +249,10 @@ def decode(df: DataFrame, id_col: str = "doc_id", path: str | None = None, keep:
     schema = rows.drop("ids").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, None)
-        for batch in batches:
-            raw = [None if x is None else bpe.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], names=[*schema.names, "bytes"])
+        tokens = decoder(path)
+        with memory_returned():
+            for batch in batches:
+                raw = [None if x is None else tokens.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], names=[*schema.names, "bytes"])
 
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", bytes binary")

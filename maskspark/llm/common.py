@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made with stored() that nothing reads any more."""
+    for table in tables:
+        delete_path(table.sparkSession, table.step_path)
 
 
 def bounded(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
@@ -46,6 +55,43 @@ def bounded(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def joined_by_key(rows: DataFrame, keyed: DataFrame, same: dict[str, str], n: str, total: int, most_hot: int = 1_000, least_hot: int = 10_000) -> DataFrame:
+    """rows joined with keyed, which has one row a key and in column n how many of rows have that key.
+
+    same: columns of rows by their names in keyed. No key's rows are brought to one task: keys
+    of more than total / most_hot rows are broadcast, and as their n add up to total at most
+    there are at most most_hot of them. The others meet in a shuffle. Both sides are read twice.
+    """
+    limit = max(least_hot, total // most_hot)
+    if total <= limit:
+        return rows.join(keyed, [rows[r] == keyed[k] for k, r in same.items()])
+    often = F.broadcast(keyed.where(F.col(n) > limit))
+    keys = F.broadcast(keyed.where(F.col(n) > limit).select(*same))
+    on = lambda other: [rows[r] == other[k] for k, r in same.items()]
+    hot = rows.join(often, on(often))
+    rest = rows.join(keys, on(keys), "left_anti")
+    seldom = keyed.where(F.col(n) <= limit)
+    return hot.unionByName(rest.join(seldom, [rest[r] == seldom[k] for k, r in same.items()]))
+
+
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, the same whenever it is read: a hash of its file and place in it.
+
+    Where df isn't read straight from Parquet files, it is written to some first.
+    """
+    number = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name)
+    try:
+        return df.select("*", number)
+    except AnalysisException:
+        return stored(df, "placed").select("*", number)
+
+
+def plain_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., which clash with no name an operator uses, and these by df's names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder made with new_path, in whichever store it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,25 +3,28 @@
 Texts are equal when they are the same after all ASCII white space is deleted. The
 whole normalised text, with its digest before it, is the key of every stage:
 1. each task combines its own copies before anything is shuffled (a partial aggregate);
-2. what is left is merged by (digest, text, salt), so copies of one text that many tasks
-   hold meet in `salts` tasks rather than one;
+2. what is left, one copy of a text from each task, is merged by (digest, text, salt), so copies
+   that many tasks hold meet in `salts` tasks rather than one; the salt is the task's;
 3. the winners of the salts, at most `salts` a text, are merged by (digest, text).
-A group's result goes back to its documents by the digest alone, which moves no text. If
+A group's result goes back to its documents by the digest alone, which moves no text;
+digests of very many documents are broadcast, so these stay where they are. If
 two texts share a digest, the documents of that digest are merged and joined by their
 whole texts.
 
 Of a group, the row with the most code points in its original text stays; of those the
 one with the smallest id. A null text counts as empty. A null id comes after all others
-of the same length. Rows that share id and text are all marked kept; without_copies()
-leaves one of them. Other columns are ignored; no rows give no rows.
+of the same length. Of rows that share an id, those as long as the longest are all marked
+kept; without_copies() leaves one row of them, that of the least text, and of rows that
+share the text too any one. deduplicate() ignores other columns, without_copies() returns
+them, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import joined_by_key, plain_columns, stored
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -49,7 +52,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     work, which changes no result (it is for tests of digests that clash).
     """
     docs = _documents(df, id_col, text_col, digest_bits)
-    salt = F.pmod(F.xxhash64(F.col("id")), F.lit(salts))
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     groups = (
         docs.select("digest", "norm", salt.alias("salt"), "best")
         .groupBy("digest", "norm", "salt").agg(F.max("best").alias("best"), F.count("*").alias("n"))
@@ -57,23 +60,30 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         .groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
         .groupBy("digest").agg(F.max("best").alias("best"), F.max("n").alias("n"), F.count("*").alias("texts"))
     )
-    groups = stored(groups, "exact-groups")
-    found = docs.select("id", "sha", "digest").join(groups.where("texts = 1"), "digest").select("id", "sha", "best", "n")
-    if groups.where("texts > 1").head(1):
-        clashing = docs.join(groups.where("texts > 1").select("digest"), "digest", "left_semi")
-        by_text = clashing.groupBy("digest", "norm").agg(F.max("best").alias("best"), F.count("*").alias("n"))
-        found = found.unionByName(clashing.drop("best").join(by_text, ["digest", "norm"]).select("id", "sha", "best", "n"))
-    rest = F.expr("best % 100000000000000000000")
-    keep = F.when(rest > 0, F.expr("cast(9223372036854775808 - best % 100000000000000000000 as long)"))
-    out = found.select("id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
-    out = out.withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+    groups = stored(groups.withColumnRenamed("digest", "of"), "exact-groups")
+    single = groups.where("texts = 1").select("of", F.col("best").alias("most"), "n")
+    total, clashes = groups.agg(F.sum("n"), F.max("texts")).head()
+    found = joined_by_key(docs.select("id", "sha", "digest", "best"), single, {"of": "digest"}, "n", total or 0).select("id", "sha", "best", "most", "n")
+    if clashes and clashes > 1:
+        clashing = docs.join(groups.where("texts > 1"), F.col("digest") == F.col("of"), "left_semi")
+        by_text = clashing.groupBy("digest", "norm").agg(F.max("best").alias("most"), F.count("*").alias("n"))
+        found = found.unionByName(clashing.join(by_text, ["digest", "norm"]).select("id", "sha", "best", "most", "n"))
+    rest = F.expr("most % 100000000000000000000")
+    keep = F.when(rest > 0, F.expr("cast(9223372036854775808 - most % 100000000000000000000 as long)"))
+    kept = F.col("best") == F.col("most")
+    return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of df that stay, with all their columns; of rows alike in id and text, one."""
-    kept = deduplicate(df, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.withColumns({"_id": F.col(id_col).cast("long"), "_sha": F.unhex(F.sha2(normalised(text), 256))})
-    null_safe = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"])
-    return rows.join(kept, null_safe, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    """The rows of df that stay, with all their columns; of rows alike in id, one."""
+    rows, column = plain_columns(df)
+    found = deduplicate(rows.select(F.col(column[id_col]).alias("id"), F.col(column[text_col]).alias("text")), "id", "text", salts)
+    # Keys without nulls: the join's partitioning then serves the choice among repeated rows.
+    keys = lambda i: [F.coalesce(i, F.lit(0)), i.isNull()]
+    kept = found.where("kept").select(*(k.alias(f"k{n}") for n, k in enumerate(keys(F.col("id")))), F.unhex("text_sha256").alias("k2")).distinct()
+    text = F.coalesce(F.col(column[text_col]).cast("string"), F.lit(""))
+    own = rows.withColumns({f"r{n}": k for n, k in enumerate([*keys(F.col(column[id_col]).cast("long")), F.unhex(F.sha2(normalised(text), 256))])})
+    staying = own.join(kept, [F.col(f"r{n}") == F.col(f"k{n}") for n in range(3)], "left_semi")
+    order = Window.partitionBy("r0", "r1", "r2").orderBy(F.length(text).desc(), text)
+    first = staying.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return first.select(*(F.col(c).alias(name) for name, c in column.items()))

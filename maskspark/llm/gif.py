@@ -9,7 +9,7 @@ their place, so a run's codes are cut from the stream by numpy at once.
 
 Edge cases: a null text counts as empty and is stored as 64 zero bytes; null media give
 null columns; a damaged file raises ValueError; equal files give equal columns;
-repeated rows and ids give a row each; other columns are ignored.
+repeated rows and ids give a row each; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations

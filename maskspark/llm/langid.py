@@ -8,12 +8,13 @@ bytes, a filter is a table of weights by place and byte; for prediction two plac
 put together in one table of byte pairs.
 
 Training reads a bounded sample: of each language the `docs_per_language` labelled
-documents with the smallest hash of their id, and of each `windows_per_doc` windows.
-Only text and language are learned from.
+documents with the smallest hash of their id, and of each `windows_per_doc` windows, which
+are cut where the texts are: only windows reach the driver. Only text and language are learned from.
 
 Edge cases: a null text, and one without a letter, is `und` with score 0; so is every
-text if there was nothing to learn from; null languages are not learned from; repeated
-rows and ids give a row each; other columns are ignored.
+text if there was nothing to learn from; null languages are not learned from, nor are those
+whose sample has no letter; of rows of one id and language one is learned from (the smallest windows);
+repeated rows and ids give a row each; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import memory_returned
+from .common import bounded, memory_returned, stored
 
 UNDETERMINED = "und"
 _NEVER = np.float32(-1e9)
@@ -135,29 +136,39 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 200, windows_per_doc: int = 6, length: int = 256, **shape) -> ByteConvNet | None:
     """A network learned from df's rows of non-null text and language, or None without any."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null and id is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
-    ids = [r["id"] for r in rows.select("id", "lang", F.xxhash64("id").alias("hash")).withColumn("rank", rank).where(F.col("rank") <= docs_per_language).collect()]
-    if not ids:
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and id is not null")
+    rank = F.row_number().over(Window.partitionBy("of").orderBy("hash", "one"))
+    ids = rows.groupBy(F.col("lang").alias("of"), F.col("id").alias("one")).agg(F.first(F.xxhash64("id")).alias("hash"))
+    ids = ids.withColumn("rank", rank).where(F.col("rank") <= docs_per_language).select("of", "one")
+    texts = rows.join(bounded(stored(ids, "language-sample")), (F.col("lang") == F.col("of")) & (F.col("id") == F.col("one"))).select("lang", "id", "text")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [sample_windows(t, length, windows_per_doc) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(parts, pa.binary())], names=["lang", "id", "windows"])
+
+    found = texts.mapInArrow(cut, f"lang string, id {kind}, windows binary").where("windows is not null")
+    found = found.groupBy("lang", "id").agg(F.min("windows").alias("windows"))  # an id may be repeated
+    sample = sorted((r["lang"], r["id"], bytes(r["windows"])) for r in found.collect())
+    if not sample:
         return None
-    found = rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("one"))  # an id may be repeated
-    sample = sorted((r["one"]["lang"], r["id"], r["one"]["text"]) for r in found.collect())
     languages = sorted({lang for lang, _, _ in sample})
-    xs, ys = [], []
-    for lang, _, text in sample:
-        if not has_letter(text):
-            continue
-        x = windows_of(text.encode(), length)
-        x = x[np.unique(np.linspace(0, len(x) - 1, windows_per_doc).astype(int))]
-        xs.append(x)
-        ys += [languages.index(lang)] * len(x)
-    if not xs:
-        return None
+    xs = [np.frombuffer(x, np.uint8).reshape(-1, length) for _, _, x in sample]
+    ys = [languages.index(lang) for (lang, _, _), x in zip(sample, xs) for _ in x]
     net = ByteConvNet(languages, length=length, **shape)
     net.train(np.concatenate(xs), np.array(ys))
     return net
 
 
+def sample_windows(text: str, length: int, most: int) -> bytes | None:
+    """At most `most` windows spread over a text, one after another; None if it has no letter."""
+    if not has_letter(text):
+        return None
+    x = windows_of(text.encode(), length)
+    return x[np.unique(np.linspace(0, len(x) - 1, most).astype(int))].tobytes()
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 

@@ -2,7 +2,8 @@
 
 A chunk is a run of white space with the run of other characters after it. The pattern
 of these vocabularies never lets a pre-token begin in one chunk and end in the next,
-and looks only forward, so a text's pre-tokens are those of its chunks in a row.
+and looks only forward, so a text's pre-tokens are those of its chunks in a row. Of other
+patterns that isn't known: for them a text is one chunk.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ _LONG = 4_000_000
 _chunk_iter = re.compile(r"\s*\S+|\s+").finditer
 
 
-def chunk_lists(text: str) -> Iterator[list[str]]:
-    if any(c in text for c in _SEPARATORS):
+def chunk_lists(text: str, whole: bool = False) -> Iterator[list[str]]:
+    """Lists of a text's chunks, one after another; with whole, the text itself."""
+    if whole or any(c in text for c in _SEPARATORS):
         yield [text]
     elif len(text) <= _LONG:
         yield _chunks(text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebpe, exactdedup, gif, langid, packing, sharding, simhash, tokencount, tokenfile, warc
-from .common import documents, new_path, stored, text_or_empty
+from .common import delete_path, documents, new_path, stored, text_or_empty
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", "record_id", "error"))).otherwise(F.col("type"))
     page_of = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")
     small = stored(records.select("record_id", "refers_to", checked.alias("record_type"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest"), "warc-records")
+    delete_path(spark, path)
     responses = small.where("record_type = 'response'")
     target = responses.select(F.col("record_id").alias("target"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
     again = small.where("record_type = 'revisit'").join(target, F.col("refers_to") == F.col("target"), "left")
@@ -75,7 +76,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written to Parquet list columns and read back."""
     path = new_path(spark, "token-files")
     tokenfile.write_token_files(documents(spark, sf_dir), path)
-    return tokenfile.with_crc32(tokenfile.read_token_files(spark, path), ("doc_id", "start", "n_tokens")).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    found = stored(tokenfile.with_crc32(tokenfile.read_token_files(spark, path), ("doc_id", "start", "n_tokens")), "token-sums")
+    delete_path(spark, path)
+    return found.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,22 @@
 """A uniform shuffle into shards of exact sizes, by a communication matrix.
 
-Rows lie in source partitions (by a hash of id and text). How many rows each source
+Rows lie in source partitions (by a hash of id, text and place). How many rows each source
 partition sends to each shard is drawn from the multivariate hypergeometric law, given
 the partitions' counts and the shards' exact sizes; it is the law of those counts in a
 uniform random permutation. Each partition is permuted by random keys and cut by its
 row of the matrix; the rows move to their shards; each shard is permuted again, by new
-keys. Keys are hashes of the seed, the id and the text, so a rerun after a lost
-executor gives the same shuffle.
+keys. Keys are hashes of the seed, the id, the text and the row's place in its file, so rows that
+repeat are spread like others, and a rerun after a lost executor gives the same shuffle.
+What isn't read straight from Parquet files is written to some first; rows that change while
+they are read are found out and raise.
 
 The driver holds one count per source partition and the matrix: at most `most_sources`
 by `shards` numbers, whatever the data's size. A shard is permuted in bins of about
 `bin_rows` rows, by ranges of the random key, so no task holds a whole shard.
 
 Edge cases: null ids and null texts are rows like others; repeated rows and ids get a
-place each; all columns of df pass through (names shard and slot must be free); no rows
-give no rows; with fewer rows than shards some shards are empty.
+place each; all columns of df pass through, whatever their names, but a column shard or slot
+gives way to the new one; no rows give no rows; with fewer rows than shards some shards are empty.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import placed, plain_columns
+
 
 def hypergeometric(rng, good: int, bad: int, draws: int) -> int:
     """How many of `draws` taken from good + bad without replacement are good."""
@@ -73,30 +77,34 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
 def shuffled_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, source_rows: int = 8_192, most_sources: int = 8_192, bin_rows: int = 65_536) -> DataFrame:
     """df with `shard` (int, 0 to shards - 1) and `slot` (long, gapless from 0 in each shard)."""
     spark = df.sparkSession
+    plain, column = plain_columns(df.drop("shard", "slot"))
+    parts = [F.col(column[c]) for c in (id_col, text_col) if c in column]
+    rows = placed(plain, "_place")
 
     def key(n: int) -> Column:
-        return F.xxhash64(F.lit(seed * 8 + n), F.col(id_col), F.col("_text"))
+        return F.xxhash64(F.lit(seed * 8 + n), *parts, F.col("_place"))
 
-    rows = df.withColumn("_text", F.xxhash64(F.col(text_col)) if text_col in df.columns else F.lit(0))
-    total = df.count()
+    total = rows.count()
     sources = max(1, min(most_sources, -(-total // source_rows)))
     rows = rows.withColumns({"_source": F.pmod(key(0), F.lit(sources)).cast("int"), "_local": key(1), "_key": key(2)})
     count_of = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([count_of.get(s, 0) for s in range(sources)], shards, seed)
     cuts = spark.range(1).select(F.from_json(F.lit(json.dumps(matrix)), "array<array<bigint>>").alias("m")).select(F.posexplode("m").alias("_from", "_cuts"))
-    # cumulative: a row's shard is the number of cuts at or below its place
+    # cumulative: a row's shard is the number of cuts at or below its rank in its source
     cuts = cuts.select("_from", F.expr("transform(sequence(1, size(_cuts)), i -> aggregate(slice(_cuts, 1, i), 0L, (a, x) -> a + x))").alias("_cuts"))
-    place = F.row_number().over(Window.partitionBy("_source").orderBy("_local", id_col, "_text")) - 1
-    sent = rows.withColumn("_place", place).join(F.broadcast(cuts), F.col("_source") == F.col("_from"))
-    sent = sent.withColumn("shard", F.expr("size(filter(_cuts, c -> c <= _place))")).drop("_place", "_from", "_cuts", "_source", "_local")
+    rank = F.row_number().over(Window.partitionBy("_source").orderBy("_local", "_place")) - 1
+    sent = rows.withColumn("_rank", rank).join(F.broadcast(cuts), F.col("_source") == F.col("_from"))
+    shard = F.expr("size(filter(_cuts, c -> c <= _rank))")
+    other = F.raise_error(F.lit("the rows have changed while they were read")).cast("int")
+    sent = sent.withColumn("_shard", F.when(shard < shards, shard).otherwise(other)).drop("_rank", "_from", "_cuts", "_source", "_local")
     bins = max(1, -(-total // (shards * bin_rows)))
     sent = sent.withColumn("_bin", F.shiftrightunsigned(F.shiftrightunsigned("_key", 40) * F.lit(bins), 24))
-    sizes = sent.groupBy("shard", "_bin").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select(F.col("shard").alias("_s"), F.col("_bin").alias("_b"), before.alias("_base"))
-    within = F.row_number().over(Window.partitionBy("shard", "_bin").orderBy("_key", id_col, "_text")) - 1
-    out = sent.withColumn("_within", within).join(bases, (F.col("shard") == F.col("_s")) & (F.col("_bin") == F.col("_b")))
-    return out.withColumn("slot", (F.col("_base") + F.col("_within")).cast("long")).select(*df.columns, F.col("shard").cast("int"), "slot")
+    sizes = sent.groupBy("_shard", "_bin").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select(F.col("_shard").alias("_s"), F.col("_bin").alias("_b"), before.alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_shard", "_bin").orderBy("_key", "_place")) - 1
+    out = sent.withColumn("_within", within).join(bases, (F.col("_shard") == F.col("_s")) & (F.col("_bin") == F.col("_b")))
+    return out.select(*(F.col(c).alias(name) for name, c in column.items()), F.col("_shard").alias("shard"), (F.col("_base") + F.col("_within")).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:

@@ -33,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, memory_returned, stored
+from .common import bounded, forget, joined_by_key, memory_returned, stored
 from .components import components
 from .pretokens import no_gc
 
 
+#: Rows of a tile that one task packs, about.
+PIECE_ROWS = 2_048
+
+
 def word_shingles(text: str, words: int) -> list[bytes]:
     """Shingles of the words of a text, A-Z in lower case, repeats included."""
     found = text.encode().lower().split()  # of bytes: A-Z only, and at [\x20\x09-\x0D] only
@@ -283,7 +287,9 @@ def tile_pairs(prints: DataFrame, radius: int, bits: int, tile_rows: int, level:
         words = np.stack([table.column(n).to_numpy() for n in names], axis=1).astype("<i8")
         return pa.table({"tile": table.column("tile").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary()), "labels": pa.array([table.column("label").to_numpy().astype("<i8").tobytes() if label else b""], pa.binary())})
 
-    tiles = rows.select("id", *names, *(["label"] if label else []), tile.alias("tile")).groupBy("tile").applyInArrow(packed, "tile int, ids binary, words binary, labels binary")
+    # A tile is packed in pieces, by tasks of their own, and put together where it is compared.
+    piece = F.pmod(F.xxhash64(F.lit("piece"), "id", *names), F.lit(-(-tile_rows // PIECE_ROWS))).cast("int")
+    tiles = rows.select("id", *names, *(["label"] if label else []), tile.alias("tile"), piece.alias("piece")).groupBy("tile", "piece").applyInArrow(packed, "tile int, ids binary, words binary, labels binary")
     tiles = stored(tiles, "tiles")
     levels, lows, highs = (array_of([t[k] for t in tiles_]) for k in range(3))
     mine = F.col("tile")
@@ -303,8 +309,9 @@ def unpacked(table: pa.Table, width: int):
 
     table = table.sort_by("tile")
     ids, labels = (np.concatenate([np.frombuffer(x, "<i8") for x in table.column(n).to_pylist()]) for n in ("ids", "labels"))
-    words = [np.frombuffer(x, "<u8").reshape(-1, width) for x in table.column("words").to_pylist()]
-    return ids, [*words, None][:2], labels
+    of, words = table.column("tile").to_pylist(), table.column("words").to_pylist()
+    tiles = [np.concatenate([np.frombuffer(x, "<u8").reshape(-1, width) for t, x in zip(of, words) if t == tile]) for tile in sorted(set(of))]
+    return ids, [*tiles, None][:2], labels
 
 
 def links(prints: DataFrame, radius: int, bits: int = 64, tile_rows: int = 32_768, level: str | None = None) -> DataFrame:
@@ -359,7 +366,9 @@ def open_links(prints: DataFrame, sets: DataFrame, radius: int, bits: int, tile_
 
     ends = stored(sides.groupBy("pair").applyInArrow(opened, "pair long, part long, side int, end long, label long, print binary"), "open-ends")
     rows = sets.join(bounded(ends), F.col("node") == F.col("end")).drop("node")
-    return stored(rows.groupBy("pair", "part").applyInArrow(held, "u long, v long"), "proven-links")
+    out = stored(rows.groupBy("pair", "part").applyInArrow(held, "u long, v long"), "proven-links")
+    forget(ends)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, radius: int = 3, tile_rows: int = 32_768) -> DataFrame:
@@ -372,16 +381,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumnRenamed("id", id_col)
 
 
-def grouped(prints: DataFrame, edges_of, names: list[str]) -> DataFrame:
-    """(id, names ..., component_id) for stored prints (id, names ...): rows equal in names are one node; edges_of: links between nodes."""
-    node = F.col("f0") if names == ["f0"] else F.xxhash64(*names)
-    nodes = stored(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("id", node), "distinct-prints")
-    found = components(edges_of(nodes.drop("least")))
-    labels = nodes.join(found, nodes["id"] == found["node"], "left").select(*names, "least", F.coalesce("component", "id").alias("component"))
-    least = labels.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
-    labels = labels.join(least, labels["component"] == least["c"]).select(*(F.col(n).alias(f"_{n}") for n in names), "component_id")
-    same = [prints[n] == labels[f"_{n}"] for n in names]
-    return prints.join(labels, same).select("id", *names, "component_id")
+def numbered(prints: DataFrame, names: list[str], *more) -> DataFrame:
+    """A table of the different rows of prints (id, names ...): id, names, least id, times and more aggregates. The id is a number of its own."""
+    rows = prints.groupBy(*names).agg(F.min("id").alias("least"), F.count("*").alias("times"), *more)
+    return stored(rows.select(F.monotonically_increasing_id().alias("id"), *rows.columns), "distinct-prints")
+
+
+def grouped(prints: DataFrame, edges_of, names: list[str], nodes: DataFrame | None = None) -> DataFrame:
+    """(id, names ..., component_id) for stored prints (id, names ...): rows equal in names are one node (of numbered()); edges_of: links between nodes."""
+    if nodes is None:
+        nodes = numbered(prints, names)
+    found = components(edges_of(nodes.select(*names, "id")))
+    labels = nodes.join(found, nodes["id"] == found["node"], "left").select(*names, "least", "times", F.coalesce("component", "id").alias("component"))
+    sizes = labels.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")).withColumnRenamed("component", "c")
+    labels = joined_by_key(labels, sizes, {"c": "component"}, "members", nodes.count())
+    labels = labels.select(*(F.col(n).alias(f"_{n}") for n in names), "component_id", "times")
+    # documents of one fingerprint may be most of all
+    return joined_by_key(prints, labels, {f"_{n}": n for n in names}, "times", prints.count()).select("id", *names, "component_id")
 
 
 def radius_for(similarity: float, bits: int, deviations: float = 4.0) -> int:
@@ -401,19 +417,19 @@ def most_exact(similarity: float) -> int:
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 128, tile_rows: int = 32_768) -> DataFrame:
     """(id_col, component_id): documents chained by Jaccard similarities of their shingle sets.
 
-    The id must be an integer, unique but for repeated rows. Only documents of equal sets count as alike unproven. The
+    Ids can be of any type that has an order, and are unique but for repeated rows; component_id is
+    the smallest of a component. Only documents of equal sets count as alike unproven. The
     candidate links of the forests are held against the sets, then all candidate links that
     would still join two components. Sets of few shingles (most_exact) need no candidates:
     those that are another set less one shingle are joined by their hashes.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = [f"f{k}" for k in range(bits // 64)]
     prints = fingerprints(docs, "id", "text", words, bits, sizes=most_exact(similarity))
     step = max(-math.log(similarity), 1e-6) * (1 + 1e-9)  # sets of this similarity are one level apart at most
     prints = stored(prints.withColumn("level", F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / step).cast("int")), "fingerprints")
     keys = [*names, "set_hash"]
-    first = prints.groupBy(*keys).agg(F.min(F.struct("id", "level", "less_one")).alias("first")).select(*keys, F.col("first.id").alias("least"), F.col("first.level").alias("level"), F.col("first.less_one").alias("less_one"), F.xxhash64(*keys).alias("id"))
-    first = stored(first, "first-documents")
+    first = numbered(prints, keys, F.first("level").alias("level"), F.first("less_one").alias("less_one"))  # equal sets have equal ones
     radius = radius_for(similarity, bits)
     edges = stored(links(first, radius, bits, tile_rows, "level").select("u", "v").distinct(), "candidate-links")
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
@@ -431,11 +447,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = first.select(F.col("id").alias("u"), F.explode("less_one").alias("less"), F.size("less_one").alias("n")).where((F.col("n") - 1) / F.greatest("n", F.lit(1)) >= similarity)
     wholes = first.where(F.col("level") <= F.floor(F.log(F.lit(most_exact(similarity))) / step)).select(F.col("id").alias("v"), "set_hash")
     short = stored(short.join(wholes, F.col("less") == F.col("set_hash")).select("u", "v"), "short-links")
-    labels = stored(components(stored(both.mapInArrow(compared, "u long, v long").unionByName(short), "proven-links")), "labels")
+    proven = stored(both.mapInArrow(compared, "u long, v long").unionByName(short), "proven-links")
+    labels = stored(components(proven), "labels")
+    forget(proven)
     labelled = first.join(labels, first["id"] == labels["node"], "left").select("id", *names, "level", F.coalesce("component", "id").alias("label"))
     rest = open_links(labelled, sets, radius, bits, tile_rows, similarity, lambda n: math.ceil(2_000_000 / math.exp((n + 1) * step)))
+    forget(edges, wanted, sets, short)
     good = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)
-    return grouped(prints, lambda _: good, keys).select(F.col("id").alias(id_col), "component_id")
+    return grouped(prints, lambda _: good, keys, first).select(F.col("id").alias(id_col), "component_id")
 
 
 def jaccard(a: bytes, b: bytes) -> float:

@@ -2,17 +2,21 @@
 
 The pre-tokens of a batch lie one after another in one array of symbols. In every round
 each sequence finds its pair of lowest rank and all occurrences of that pair in it are
-merged at once; what is left when no sequence has a pair of the vocabulary is counted.
+merged at once; what is left when no sequence has a pair of the vocabulary is counted. Ranks
+are kept from round to round: only pairs beside a merge are looked up again. A sequence of
+over LONG bytes is an array of its own, whose symbols are linked, so that a round touches only
+the occurrences of its pair and the work grows in proportion to the length, but for sorting.
 Merging all occurrences at once gives what merging them one by one does, as a pair
 with the new symbol always ranks behind the pair that made it.
 
 Edge cases: a null or empty text has 0 tokens and 0 bytes; a special string of the
 vocabulary inside a text counts as one token, as the library has it by default;
-repeated rows and ids give a row each; other columns are ignored.
+repeated rows and ids give a row each; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -26,6 +30,10 @@ from .pretokens import LONGEST_KEPT, chunk_lists, no_gc
 from .wordbpe import byte_characters
 
 
+#: Bytes above which a pre-token is an array of its own.
+LONG = 1_024
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -54,40 +62,100 @@ class Merger:
     def count(self, pieces: list[bytes]) -> np.ndarray:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         left = lengths.copy()
-        symbols = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), lengths)
-        while len(symbols) > 1:
-            rank = np.full(len(symbols), self.NONE)
-            rank[:-1] = self._ranks(symbols[:-1], symbols[1:])
-            rank[:-1][owner[:-1] != owner[1:]] = self.NONE
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            left[i] = self.count_long(pieces[i])
+        short = np.flatnonzero((lengths > 1) & (lengths <= LONG))
+        symbols = self.first[np.frombuffer(b"".join([pieces[i] for i in short.tolist()]), np.uint8)]
+        owner = np.repeat(short, lengths[short])
+        rank = self._ranks_at(symbols, owner, np.arange(len(symbols)))
+        while len(symbols):
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            least = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(np.append(starts, len(symbols)))
-            least = np.repeat(least, sizes)
-            hit = (rank == least) & (least != self.NONE)
-            # a run of overlapping hits (aaa): every second of it, from its first, merges
-            at = np.flatnonzero(hit)
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbols))))
+            alive = least != self.NONE  # sequences without a pair are done
+            at = every_second(np.flatnonzero((rank == least) & alive))
             if not len(at):
                 break
-            new_run = np.append(True, np.diff(at) != 1)
-            in_run = np.arange(len(at)) - np.repeat(np.flatnonzero(new_run), np.diff(np.append(np.flatnonzero(new_run), len(at))))
-            at = at[in_run % 2 == 0]
             symbols[at] = self.made[rank[at]]
             np.subtract.at(left, owner[at], 1)
-            alive = least != self.NONE  # sequences without a pair are done
             alive[at + 1] = False
-            symbols, owner = symbols[alive], owner[alive]
+            again = np.zeros(len(symbols), bool)
+            again[at] = True
+            again[at[at > 0] - 1] = True
+            symbols, owner, rank, again = symbols[alive], owner[alive], rank[alive], again[alive]
+            where = np.flatnonzero(again)
+            rank[where] = self._ranks_at(symbols, owner, where)
+        return left
+
+    def _ranks_at(self, symbols: np.ndarray, owner: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at places of a ragged array; none over the end of a sequence."""
+        out = np.full(len(where), self.NONE)
+        inner = where + 1 < len(symbols)
+        inner[inner] = owner[where[inner]] == owner[where[inner] + 1]
+        out[inner] = self._ranks(symbols[where[inner]], symbols[where[inner] + 1])
+        return out
+
+    def count_long(self, piece: bytes) -> int:
+        """The same for one long sequence: places wait in a list for each rank."""
+        n = left = len(piece)
+        symbols = np.append(self.first[np.frombuffer(piece, np.uint8)], 0)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, self.NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        lowest: list[int] = []
+
+        def look(where: np.ndarray) -> None:
+            rank[where] = self.NONE
+            where = where[after[where] < n]
+            rank[where] = found = self._ranks(symbols[where], symbols[after[where]])
+            where, found = where[found != self.NONE], found[found != self.NONE]
+            order = np.argsort(found, kind="stable")
+            where, found = where[order], found[order]
+            starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else []
+            for part, r in zip(np.split(where, starts[1:]), found[starts].tolist()) if len(found) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(lowest, r)
+                waiting[r].append(part)
+
+        look(np.arange(n))
+        while lowest:
+            r = heapq.heappop(lowest)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]  # others have merged with a neighbour since
+            at = every_second(at, after)
+            gone, beyond = after[at], after[after[at]]
+            symbols[at] = self.made[r]
+            rank[gone] = self.NONE
+            after[at] = beyond
+            before[beyond] = at
+            left -= len(at)
+            look(np.unique(np.concatenate([at, before[at[before[at] >= 0]]])))
         return left
 
 
+def every_second(at: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Of places of one pair, those that merge: in a run of overlapping ones (aaa) every second, from its first.
+
+    after: of each place the next one, if that is not the neighbour.
+    """
+    if not len(at):
+        return at
+    begins = np.append(True, (at[:-1] + 1 if after is None else after[at[:-1]]) != at[1:])
+    starts = np.flatnonzero(begins)
+    within = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    return at[within % 2 == 0]
+
+
 class TokenCounter:
     """The number of tokens of texts for a byte-level vocabulary in a `tokenizers` file."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None, cache: int = 600_000):
         import regex
 
-        if pattern is None:
-            from public_tokenizers import PATTERN as pattern
+        from public_tokenizers import PATTERN
+
+        pattern = pattern or PATTERN
+        self.whole = pattern != PATTERN
         with open(path or default_path(), encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
@@ -104,7 +172,7 @@ class TokenCounter:
         jobs, held = [], 0
         for text in texts:
             found = len(self.at_special.findall(text)) if any(s in text for s in self.special) else 0
-            lists = [c for part in (self.at_special.split(text) if found else (text,)) if part for c in chunk_lists(part)]
+            lists = [c for part in (self.at_special.split(text) if found else (text,)) if part for c in chunk_lists(part, self.whole)]
             jobs.append((found, lists))
             held += sum(map(len, lists))
             if held > 2_000_000:

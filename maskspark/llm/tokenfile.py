@@ -1,12 +1,13 @@
 """Token ids in Parquet files of list columns, in ascending order of the documents' ids.
 
-The rows are parted by ranges of the id and sorted within them; each range is tokenised
+The rows are parted by ranges of the id (and of rows of one id, by the text's hash and the
+row's place, so that even these are cut in ranges) and sorted within them; each range is tokenised
 and written as one file. Row groups, pages and the lists' encoding are set by
 parameters; Parquet's own page indexes let a reader skip to some rows, and the
 metadata columns (part, part_start, n_tokens) are read without touching the ids.
 
 Edge cases: a null text counts as empty; an empty text is its end id alone; null ids of
-documents come first; rows of one id are ordered by their text and keep a row each;
+documents come first; rows of one id are ordered by a hash of their text and keep a row each;
 other columns are ignored; no rows give files of no rows.
 """
 
@@ -32,8 +33,8 @@ ENCODINGS = {
 
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2_000, compression: str = "zstd") -> None:
     """Write (id_col, part int, part_start long, n_tokens int, ids array<int>) to path."""
-    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = df.schema[id_col].dataType.simpleString()
     names = [id_col, "part", "part_start", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +53,9 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([keys.slice(at, 1_000), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(sizes.astype(np.int32)), lists], names=names)
                 start += int(offsets[-1])
 
-    done = rows.repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "text")
-    done = done.mapInArrow(run, f"`{id_col}` {kind}, part int, part_start long, n_tokens int, ids array<int>")
+    order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    ranged = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange(*order)
+    done = ranged.sortWithinPartitions(*order).select("id", "text").mapInArrow(run, f"`{id_col}` {kind}, part int, part_start long, n_tokens int, ids array<int>")
     options = ENCODINGS[encoding] | {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows), "compression": compression}
     done.write.options(**options).parquet(path)
 

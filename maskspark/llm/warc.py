@@ -7,15 +7,17 @@ revisit records without a body. Records go to gzip-compressed files through Spar
 text writer, whose line separator is the blank lines that end a record; so archives can
 lie in any store that Spark writes.
 
-read_archives() parses whole files by their Content-Length, groups continuation
+read_archives() reads files member by member and record by record, by their Content-Length, groups continuation
 records by the identifier of their origin, orders them by segment number, checks
 that the numbers are complete and the total length right, and decodes the chunked
 framing. Records in one piece are not shuffled. A record that fails a check has a null
-payload and says why in `error`.
+payload and says why in `error`. So does damage to a file: a member that is cut short or can't be
+inflated, a Content-Length that is missing, no number or too large; reading goes on at the next member or
+record that can be found, so other records are not lost.
 
 A file holds at most `records_per_file` records of a segment each, which bounds what a
-task holds while it reads one. df must be a table scan or another source that gives
-its rows in the same partitions again, as rows are told apart by their place in it.
+task holds while it reads one. Rows are told apart by their place in df's files; what isn't read
+straight from Parquet files is written to some first.
 
 Edge cases: a null payload counts as empty, a null id gives a record of its own with a
 null id; repeated rows get a record each (the last of those with the largest id is the
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, stored
+from .common import bounded, joined_by_key, placed, stored
 
 CRLF = "\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -50,26 +52,25 @@ def base32_sha1(raw: Column) -> Column:
     return F.translate(F.concat(*groups), digits, rfc)
 
 
-def revisits(df: DataFrame, id_col: str, payload: Column, least_bytes: int) -> DataFrame:
-    """(row, target_id, target_row) of the rows whose payload another row's record holds."""
-    keys = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
+def revisits(df: DataFrame, payload: Column, least_bytes: int) -> DataFrame:
+    """(same_id, row, target_id, target_row) of df's rows (id, row, ...) whose payload another row's record holds."""
+    keys = df.select("id", "row", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     keys = keys.where(F.col("n") >= least_bytes).select("id", "row", F.unhex("digest").alias("digest"))
-    best = keys.groupBy("digest").agg(F.max("id").alias("target_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # rows of the largest id are few; of them the last is the response
-    joined = keys.join(best.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).drop("d")
-    top = joined.where(F.col("id").eqNullSafe(F.col("target_id"))).groupBy("digest").agg(F.max("row").alias("target_row"))
-    joined = joined.join(top.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
-    return joined.where("row <> target_row").select("row", "target_id", "target_row")
+    # of the rows of the largest id the last is the response; nulls come first
+    best = keys.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("target"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("digest", "d")
+    keys, best = stored(keys, "payload-keys"), stored(best, "repeated-payloads")
+    joined = joined_by_key(keys, best, {"d": "digest"}, "n", keys.count())
+    return joined.where("row <> target.row").select(F.col("id").alias("same_id"), "row", F.col("target.id").alias("target_id"), F.col("target.row").alias("target_row"))
 
 
 def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment_bytes: int = 8_192, chunk_bytes: int = 4_096, least_revisit_bytes: int = 0, records_per_file: int = 8_000, date: str = "2000-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> None:
     """Write df's rows as archives in the folder path."""
+    url = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("about:blank")), r"[\x00-\x20]", "%20")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+    pages = placed(df.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload")), "_row")
     # Few revisits are broadcast; to many the payloads are shuffled.
-    again = bounded(stored(revisits(df, id_col, payload, least_revisit_bytes), "revisits"), broadcast_rows)
-    url = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("about:blank")), r"[\x00-\x20]", "%20")
-    pages = df.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("_row"))
-    pages = pages.join(again, F.col("_row") == F.col("row"), "left").withColumn("digest", base32_sha1(F.col("payload")))
+    again = bounded(stored(revisits(pages.withColumnRenamed("_row", "row"), F.col("payload"), least_revisit_bytes), "revisits"), broadcast_rows)
+    pages = pages.join(again, (F.col("_row") == F.col("row")) & F.col("id").eqNullSafe(F.col("same_id")), "left").withColumn("digest", base32_sha1(F.col("payload")))
     text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).cast("binary")
     name = lambda i, r: F.concat(F.lit("<urn:pages:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), r.cast("string"), F.lit(">"))
     chunk = lambda part: F.concat(text(F.hex(F.octet_length(part).cast("long")), CRLF), part, text(CRLF))
@@ -103,31 +104,102 @@ def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str
     records.write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=str(records_per_file)).text(path)
 
 
-def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive, gzip or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":  # an archive may have a member for each record
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(parts)
-    at = 0
+GZIP = b"\x1f\x8b\x08"
+
+
+def inflated(data: bytes, step: int = 1 << 14, most: int = 1 << 20) -> Iterator[bytes | None]:
+    """A file's bytes in pieces, its gzip members inflated; None where a member is damaged or cut short."""
+    view, at = memoryview(data), 0
+    if data[:2] != GZIP[:2]:
+        yield from (bytes(view[k : k + most]) for k in range(0, len(view), most))
+        return
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        try:
+            while not member.eof:
+                piece = view[at : at + step]
+                out = member.decompress(piece, most)
+                at += len(piece) - len(member.unconsumed_tail) - len(member.unused_data)
+                if out:
+                    yield out
+                elif not len(piece):
+                    yield None
+                    return
+        except zlib.error:
+            yield None
+            at = data.find(GZIP, at + 1)
+            if at < 0:
+                return
+
+
+def records_in(data: bytes, longest_head: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """(headers with names in lower case, block, error) of each record of an archive, gzip or plain.
+
+    Where the archive is damaged, the block is null and error says why; reading goes on at the
+    next record that can be found.
+    """
+    source, held = inflated(data), bytearray()
+    state = "more"  # or "cut": a member ended early, or "over"
+
+    def until(n: int) -> bool:
+        """Whether n bytes are held, after more are read if need be."""
+        nonlocal state
+        while len(held) < n and state == "more":
+            piece = next(source, b"")
+            if piece:
+                held.extend(piece)
+            else:
+                state = "cut" if piece is None else "over"
+        return len(held) >= n
+
+    def to_next_record() -> None:
+        del held[:1]
+        while (k := held.find(b"\r\n\r\nWARC/")) < 0:
+            del held[:-8]
+            if not until(len(held) + 1):
+                held.clear()
+                return
+        del held[: k + 4]
+
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        end = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or end < 0:
-            raise ValueError(f"no record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        while until(2) and held[:2] == b"\r\n":
+            del held[:2]
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
+            looked = len(held)
+            if looked > longest_head or not until(looked + 1):
+                break
+        if end < 0:
+            if held.strip():
+                yield {}, None, "a record ends within its headers"
+            elif state == "cut":
+                yield {}, None, "a member is damaged"
+            if looked > longest_head:
+                to_next_record()
+                continue
+            held.clear()
+            if state == "over":
+                return
+            state = "more"
+            continue
+        if held[:5] != b"WARC/":
+            yield {}, None, "no record where one should begin"
+            to_next_record()
+            continue
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start, n = end + 4, int(head["content-length"])
-        if start + n > len(data):
-            raise ValueError(f"the record at byte {at} ends early")
-        yield head, data[start : start + n]
-        at = start + n
+        length = head.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield head, None, "Content-Length missing or no number"
+            del held[:end]
+            to_next_record()
+        elif until(end + 4 + int(length)):
+            yield head, bytes(held[end + 4 : end + 4 + int(length)]), None
+            del held[: end + 4 + int(length)]
+        else:
+            yield head, None, "the record ends early"
+            del held[:end]
+            to_next_record()
 
 
 def dechunked(raw: bytes) -> bytes:
@@ -155,28 +227,38 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if re.search(rb"\r\ntransfer-encoding:[^\r]*chunked", head, re.I) else body
 
 
-_PARSED = "type string, record_id string, origin_id string, segment int, total long, digest string, refers_to string, url string, block binary"
+_PARSED = "type string, record_id string, origin_id string, segment int, total long, digest string, refers_to string, url string, block binary, error string"
 
 
-def parsed(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives in the folder path."""
+def parsed(spark: SparkSession, path: str, batch_records: int = 2_000, batch_bytes: int = 16 << 20) -> DataFrame:
+    """A row per record of the archives in the folder path; of damaged places too, with an error and no block."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
     names = [x.split()[0] for x in _PARSED.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+    def row_of(head: dict[str, str], block: bytes | None, error: str | None) -> tuple:
+        number = {}
+        for name, most in (("warc-segment-number", 1 << 31), ("warc-segment-total-length", 1 << 63)):
+            text = head.get(name)
+            good = text is not None and text.isascii() and text.isdigit() and int(text) < most
+            number[name] = int(text) if good else None
+            if text is not None and not good:
+                block, error = None, f"{name} is no number"
+        own = head.get("warc-record-id")
+        return (head.get("warc-type"), own, head.get("warc-segment-origin-id", own), *number.values(), head.get("warc-payload-digest"), head.get("warc-refers-to"), head.get("warc-target-uri"), block, error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                out: list[list] = [[] for _ in names]
-                for head, block in records_in(batch.column(0)[i].as_py()):
-                    number = lambda x, head=head: int(head[x]) if x in head else None
-                    row = (head.get("warc-type"), head.get("warc-record-id"), head.get("warc-segment-origin-id", head.get("warc-record-id")), number("warc-segment-number"), number("warc-segment-total-length"), head.get("warc-payload-digest"), head.get("warc-refers-to"), head.get("warc-target-uri"), block)
-                    for column, value in zip(out, row):
-                        column.append(value)
-                    if len(out[0]) >= 2_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-                        out = [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                rows, size = [], 0
+                for record in records_in(batch.column(0)[i].as_py()):
+                    rows.append(row_of(*record))
+                    size += len(record[1] or b"")
+                    if len(rows) >= batch_records or size >= batch_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return files.mapInArrow(run, _PARSED)
 
@@ -204,14 +286,15 @@ def decoded(pieces: list[tuple[int | None, bytes]], totals: list[int], digest: s
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per response or revisit: type, record_id, refers_to, url, payload binary, payload_digest, error.
 
-    A revisit's payload and digest are null: it has those of the record it refers to.
+    A revisit's payload and digest are null: it has those of the record it refers to. A
+    damaged place has a row of its own, with what is known of the record.
     """
-    records = parsed(spark, path).where("type in ('response', 'revisit', 'continuation')")
-    piece = F.struct(F.col("segment"), "type", "record_id", "refers_to", "url", "digest", "total", "block")
+    records = parsed(spark, path).where("error is not null or type in ('response', 'revisit', 'continuation')")
+    piece = F.struct(F.col("segment"), "type", "record_id", "refers_to", "url", "digest", "total", "block", "error")
     # Records of one piece pass as they are; only segmented ones are grouped.
     keyed = records.select("origin_id", "segment", piece.alias("piece"))
-    grouped = keyed.where("segment is not null").groupBy("origin_id").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    whole = keyed.where("segment is null").select("origin_id", F.array("piece").alias("pieces"))
+    grouped = keyed.where("segment is not null and piece.error is null").groupBy("origin_id").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    whole = keyed.where("segment is null or piece.error is not null").select("origin_id", F.array("piece").alias("pieces"))
     rows = whole.unionByName(grouped)
     names = ["type", "record_id", "refers_to", "url", "payload", "payload_digest", "error"]
     kinds = [pa.string()] * 4 + [pa.binary(), pa.string(), pa.string()]
@@ -222,6 +305,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 out: list[list] = [[] for _ in names]
                 for pieces in batch.column(1).slice(at, 1_000).to_pylist():
                     first = pieces[0]
+                    if first["error"]:
+                        for column, value in zip(out, (first["type"], first["record_id"], first["refers_to"], first["url"], None, None, first["error"])):
+                            column.append(value)
+                        continue
                     payload, own, error = decoded([(p["segment"], p["block"]) for p in pieces], [p["total"] for p in pieces if p["total"] is not None], first["digest"], first["type"] == "revisit")
                     if first["type"] == "continuation":
                         payload, own, error = None, None, "origin record missing"

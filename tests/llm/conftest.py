@@ -1,6 +1,13 @@
 import pytest
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use, or might; each column holds its own name.
+CLASHING = ("_id", "_sha", "_key", "_text", "_source", "_local", "_bin", "id", "place", "_place", "digest", "norm", "best", "salt", "hash", "part", "row", "key", "kept", "component_id", "lang_pred", "score", "c0", "slot")
+
+
+@pytest.fixture(scope="session")
+def clashing():
+    return CLASHING
 
 
 @pytest.fixture(scope="session")
@@ -17,9 +24,9 @@ def docs(spark, awkward):
     """As a table, with columns whose names operators use themselves."""
     from maskspark.llm.common import new_path
 
-    rows = [(i, t, "en" if i else None, "s", 0, 7, "x", 3) for i, t in awkward]
+    rows = [(i, t, "en" if i else None, "s", 0, 7, "x", 3, *CLASHING) for i, t in awkward]
     path = new_path(spark, "test-documents")
-    spark.createDataFrame(rows, f"{DOCUMENTS}, n_tokens int, ids string, shard int").write.parquet(path)
+    spark.createDataFrame(rows, f"{DOCUMENTS}, n_tokens int, ids string, shard int, " + ", ".join(f"{c} string" for c in CLASHING)).write.parquet(path)
     return spark.read.parquet(path)
 
 

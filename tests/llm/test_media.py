@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -123,6 +124,74 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def gzip_members(n):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 1_900
+    made = [gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(block), block), 1) for i in range(4)]
+    return b"".join(made * (n // 4)), block
+
+
+def test_reading_grows_with_the_members():
+    """A member for each record, 16,000 of them: reading one takes no longer than in a short file."""
+    took = {}
+    for n in (2_000, 16_000):
+        raw, block = gzip_members(n)
+        began = time.perf_counter()
+        assert sum(b == block and e is None for _, b, e in warc.records_in(raw)) == n
+        took[n] = time.perf_counter() - began
+    assert took[16_000] < 8 * 3 * took[2_000] + 1
+
+
+def test_large_records_pass_in_pieces():
+    body = random.Random(1).randbytes(3_000_000) + b"\r\n\r\nWARC/1.1\r\n" + b"\0" * 9_000_000
+    raw = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    for data in (raw, gzip.compress(raw, 1), gzip.compress(raw[:5], 1) + gzip.compress(raw[5:70_000], 1) + gzip.compress(raw[70_000:], 1)):
+        assert [(b == body, e) for _, b, e in warc.records_in(data)] == [(True, None)]
+    assert list(warc.records_in(b"")) == [] and list(warc.records_in(b"\r\n\r\n")) == []
+
+
+def damaged(kind):
+    """An archive whose second of three records is damaged, and what is wrong with it."""
+    good = lambda i: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody%d\r\n\r\n" % (i, i)
+    one, two, three = map(good, (1, 2, 3))
+    if kind == "cut member":
+        return gzip.compress(one) + gzip.compress(two * 50)[:40] + gzip.compress(three), "a member is damaged"
+    if kind == "flipped member":
+        raw = bytearray(gzip.compress(two * 50))
+        raw[20] ^= 0xFF
+        return gzip.compress(one) + bytes(raw) + gzip.compress(three), None
+    wrong = {
+        "bad length": (two.replace(b"Length: 24", b"Length: many"), "Content-Length missing or no number"), "no length": (two.replace(b"Content-Length: 24\r\n", b""), "Content-Length missing or no number"),
+        "long length": (two.replace(b"Length: 24", b"Length: 99999"), "the record ends early"), "short length": (two.replace(b"Length: 24", b"Length: 20"), "no record where one should begin"),
+        "negative length": (two.replace(b"Length: 24", b"Length: -4"), "Content-Length missing or no number"), "no record": (b"nothing of the kind\r\n\r\n", "no record where one should begin"),
+        "bad segment": (two.replace(b"Content-", b"WARC-Segment-Number: x\r\nContent-"), "warc-segment-number is no number"),
+    }
+    raw, error = wrong[kind]
+    return one + raw + three, error
+
+
+@pytest.mark.parametrize("kind", ["cut member", "flipped member", "bad length", "no length", "long length", "short length", "negative length", "no record", "bad segment"])
+def test_damage_becomes_rows(spark, tmp_path, kind):
+    raw, error = damaged(kind)
+    (tmp_path / "a.warc").write_bytes(raw)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    payloads = {r.record_id: bytes(r.payload) for r in rows if r.error is None}
+    assert payloads.get("<1>") == b"body1" and payloads.get("<3>") == b"body3"
+    errors = [r.error for r in rows if r.error is not None]
+    assert errors and (error is None or error in errors)
+
+
+def test_archives_cut_short():
+    raw, _ = gzip_members(8)
+    whole = sum(1 for _ in warc.records_in(raw))
+    for cut in (5, 9, 30, len(raw) // 2 + 7, len(raw) - 3):
+        found = list(warc.records_in(raw[:cut]))
+        assert found[-1][2] is not None
+        assert sum(e is None for _, _, e in found) <= whole
+    plain = gzip.decompress(raw)
+    assert [e for _, _, e in warc.records_in(plain[:-500])][-1] == "the record ends early"
+    assert [e for _, _, e in warc.records_in(plain[:40])] == ["a record ends within its headers"]
+
+
 def test_warc_damage(spark, tmp_path):
     def record(kind, name, block, **more):
         head = {"WARC-Type": kind, "WARC-Record-ID": name, **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": len(block)}

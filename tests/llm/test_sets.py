@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from maskspark.llm import components, exactdedup, sharding, simhash
-from maskspark.llm.common import stored
+from maskspark.llm.common import joined_by_key, placed, stored
 
 
 def groups_by_hand(rows):
@@ -38,27 +38,64 @@ def test_one_copy_stays(docs, awkward):
     assert sorted(map(str, kept)) == sorted(str((i, t)) for members in [sorted(m) for m in groups_by_hand(awkward).values()] for i in [members[0][2]] for t in [next(t for j, t in awkward if j == i and len(t or "") == -members[0][0])])
 
 
+def test_columns_and_repeated_ids(spark, docs, clashing):
+    """All columns come back, whatever their names; of rows of one id the longest text stays."""
+    out = exactdedup.without_copies(docs)
+    assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in clashing)
+    rows = [(1, "a b"), (1, "a  b"), (1, "ab"), (2, "a b"), (1, "a  b"), (None, "c"), (None, "c"), (None, "c ")]
+    for order in (rows, rows[::-1]):
+        kept = exactdedup.without_copies(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(str, map(tuple, kept))) == ["(1, 'a  b')", "(None, 'c ')"]
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") < 2_000, 1).otherwise(F.col("id") % 7).cast("long").alias("k"), "id")
+    keyed = rows.groupBy(F.col("k").alias("of")).agg(F.count("*").alias("n"), F.max("id").alias("last")).where("of <> 3")
+    want = sorted(map(tuple, rows.join(keyed, rows["k"] == keyed["of"]).select("id", "k", "n", "last").collect()))
+    for least in (10, 10_000):
+        got = joined_by_key(rows, keyed, {"of": "k"}, "n", 3_000, most_hot=10, least_hot=least)
+        assert sorted(map(tuple, got.select("id", "k", "n", "last").collect())) == want
+
+
 def test_signed_ids(spark):
     low = -(1 << 63)
     rows = spark.createDataFrame([(low, "a"), ((1 << 63) - 1, "a "), (-5, "b"), (5, "b")], "doc_id long, text string")
     assert {r.doc_id: r.keep_id for r in exactdedup.deduplicate(rows).collect()} == {low: (1 << 63) - 1, (1 << 63) - 1: (1 << 63) - 1, -5: -5, 5: -5}
 
 
-def test_shards(spark, docs, empty, awkward):
+def test_shards(spark, docs, empty, awkward, clashing):
     rows = spark.range(1003).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.lit(1).alias("shard_"))
     out = sharding.shuffled_shards(rows, 7, source_rows=50, bin_rows=20).collect()
     sizes = collections.Counter(r.shard for r in out)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 7 and sorted(r.doc_id for r in out) == list(range(1003))
     for s, n in sizes.items():
         assert sorted(r.slot for r in out if r.shard == s) == list(range(n))
-    again = sharding.shuffled_shards(rows.repartition(9), 7, source_rows=50, bin_rows=20).collect()
+    held = stored(rows, "test-rows")
+    out, again = (sharding.shuffled_shards(held, 7, source_rows=50, bin_rows=20).collect() for _ in range(2))
     assert {(r.doc_id, r.shard, r.slot) for r in out} == {(r.doc_id, r.shard, r.slot) for r in again}
-    other = sharding.shuffled_shards(rows, 7, seed=2).collect()
+    other = sharding.shuffled_shards(held, 7, seed=2).collect()
     assert {(r.doc_id, r.shard) for r in out} != {(r.doc_id, r.shard) for r in other}
-    plain = docs.drop("shard")
-    few = sharding.shuffled_shards(plain, 40).collect()
+    few = sharding.shuffled_shards(docs, 40).collect()
     assert sorted(str((r.doc_id, r.text)) for r in few) == sorted(map(str, awkward)) and max(collections.Counter(r.shard for r in few).values()) == 1
-    assert sharding.shuffled_shards(plain.where("doc_id = -1"), 40).count() == 0
+    assert all(r[c] == c for r in few for c in clashing if c != "slot") and {r.slot for r in few} == {0}
+    assert sharding.shuffled_shards(empty, 40).count() == 0
+
+
+def test_rows_that_repeat_are_shuffled_too(spark):
+    """30,000 of 40,000 rows are one row: their sources are even, and they end up all over the shards."""
+    rows = stored(spark.range(40_000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.lit("same").alias("text"), "id"), "test-hot")
+    out = sharding.shuffled_shards(rows, 8, source_rows=500, bin_rows=1_000)
+    got = out.select("shard", "slot", (F.col("id") % 4 != 0).alias("hot"), "id").collect()
+    for s in range(8):
+        mine = sorted((r.slot, r.hot, r.id) for r in got if r.shard == s)
+        assert [r[0] for r in mine] == list(range(5_000))
+        halves = [sum(r[1] for r in mine[k : k + 2_500]) for k in (0, 2_500)]
+        assert all(abs(n - 1_875) < 6 * (2_500 * 0.75 * 0.25) ** 0.5 for n in halves)
+        steps = [b[2] > a[2] for a, b in zip(mine, mine[1:])]
+        assert 0.45 < sum(steps) / len(steps) < 0.55  # no order of the input is left
+    assert len({r.id for r in got}) == 40_000
+    sources = placed(rows, "p").groupBy(F.pmod(F.xxhash64(F.lit(8), "doc_id", "text", "p"), F.lit(80))).count()
+    assert sources.agg(F.max("count")).head()[0] < 650
 
 
 def test_matrix_is_exact_and_fair():
@@ -179,9 +216,39 @@ def test_similar_documents_like_brute_force(spark):
                 parent[max(a, b)] = min(a, b)
     rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-similar")
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
-    want = [find(i) for i in range(len(texts))]
-    assert sum(got[i] != w for i, w in enumerate(want)) <= 1  # a fingerprint may be further off than its similarity
-    assert all(want[i] == want[c] for i, c in got.items())  # and no link is wrong
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_families_like_brute_force(spark):
+    """Six families of 150 documents of 300 words, three to five of them changed: thousands of links on either side of 0.8."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(5_000)}" for _ in range(300)]
+        for _ in range(150):
+            words = list(base)
+            for _ in range(rng.randint(3, 5)):
+                words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [set(simhash.word_shingles(t, 5)) for t in texts]
+    parent = list(range(900))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in range(900):
+        for j in range(i // 150 * 150, i):
+            common = len(sets[i] & sets[j])
+            if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8:
+                links += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert links > 10_000 and 50 < len({find(i) for i in range(900)}) < 300
+    rows = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test-families")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()} == {i: find(i) for i in range(900)}
 
 
 @pytest.mark.parametrize("tile", [32_768, 400])
@@ -239,3 +306,5 @@ def test_repeated_rows_leave_one(spark):
     rows = spark.createDataFrame([near, near, near, (2, " ".join(words + ["more"])), alone, alone, (4, None), (4, None)], "doc_id long, text string")
     out = corpus_pipeline.drop_near_copies(spark, stored(rows, "test-rows"), "")
     assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [near, alone, (4, "")] and out.columns == ["doc_id", "text"]
+    many = spark.range(4_000).select(F.lit(1).alias("doc_id"), F.lit("one row again and again").alias("text"), "id")
+    assert corpus_pipeline.drop_near_copies(spark, stored(many, "test-rows"), "").count() == 1

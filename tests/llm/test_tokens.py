@@ -1,5 +1,6 @@
 import base64
 import random
+import time
 import zlib
 from array import array
 
@@ -61,11 +62,12 @@ def bpe():
 
 def test_byte_bpe_is_tiktoken(bpe, awkward):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bytebpe.default_path(), "rb"))}
+    back = bytebpe.Decoder()
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for text in strings(4000) + [t or "" for _, t in awkward]:
         got = bpe.encode(text)
         assert got == array("I", library.encode_ordinary(text)).tobytes()
-        assert bpe.decode(got) == text.encode()
+        assert back.decode(got) == text.encode()
 
 
 def test_byte_bpe_over_tables(spark, docs, empty, awkward):
@@ -87,6 +89,39 @@ def test_token_counts_are_the_library(spark, docs, empty, awkward):
     assert tokencount.count_tokens(empty).count() == 0
 
 
+def test_long_pre_tokens(spark):
+    """Above a length a pre-token is an array of its own; the library says the same of both, and time grows in proportion."""
+    library = Tokenizer.from_file(tokencount.default_path())
+    rng = random.Random(4)
+    edge = tokencount.LONG
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("a", "ab", "etaoins", "abcdefghijklmnopqrstuvwxyz") for n in (edge - 1, edge, edge + 1, 5_000, 40_000)]
+    texts.append("é日" * 3_000)
+    counter = tokencount.TokenCounter()
+    assert counter.counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    took = []
+    for n in (40_000, 400_000):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.perf_counter()
+        counter.counts([text])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_other_patterns(awkward):
+    """A pattern that takes line ends along with what is before them: its matches are not those of chunks."""
+    pattern = r"[^\s]+\n*|\s+"
+    texts = strings(500, 7) + ["a!\n\nb", "!\n"] + [t or "" for _, t in awkward if len(t or "") < 10_000]
+    ranks = bytebpe.read_ranks(bytebpe.default_path())
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own = bytebpe.ByteBPE(pattern=pattern)
+    assert [own.encode(t) for t in texts] == [array("I", library.encode_ordinary(t)).tobytes() for t in texts]
+    counter, merger = tokencount.TokenCounter(pattern=pattern), tokencount.TokenCounter().merger
+    plain = [t for t in texts if "<|" not in t]
+    import regex
+
+    assert counter.counts(plain) == [int(merger.count([m.encode() for m in regex.findall(pattern, t)]).sum()) for t in plain]
+
+
 def test_runs_of_one_pair_merge_from_the_left():
     vocab = {c: i for i, c in enumerate(wordbpe.byte_characters())} | {"aa": 256, "aaaa": 257}
     merger = tokencount.Merger(vocab, [("a", "a"), ("aa", "aa")])
@@ -158,3 +193,29 @@ def test_token_files(spark, docs, empty, awkward, words, encoding):
     none = new_path(spark, "test-files")
     tokenfile.write_token_files(empty, none)
     assert tokenfile.read_token_files(spark, none).count() == 0
+
+
+def test_equal_ids_are_cut_in_ranges(spark, words):
+    """30,000 of 40,000 rows have one id: no file holds much more than its share, and starts are right."""
+    path = new_path(spark, "test-files")
+    rows = spark.range(40_000).select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(7).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 11).cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenfile.write_token_files(rows.repartition(4), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r["count"] for r in spark.read.parquet(path).groupBy("part").count().collect()]
+    assert sum(parts) == 40_000 and max(parts) < 2 * 40_000 / 4
+    got = tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens").orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
+def test_selective_reads(spark, docs):
+    """Metadata columns are read without the ids, and a range of documents without the other row groups."""
+    path = new_path(spark, "test-files")
+    tokenfile.write_token_files(docs, path, row_group_bytes=1_024, page_rows=2)
+    plan = spark.read.parquet(path).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan[plan.index("ReadSchema") :]
+    some = spark.read.parquet(path).where("doc_id = 7")
+    assert "EqualTo(doc_id,7)" in some._jdf.queryExecution().executedPlan().toString() and some.count() == 1
