@@ -52,10 +52,15 @@ def word_shingles(text: str, words: int) -> list[bytes]:
 
 def fingerprint(text: str, words: int = 3, bits: int = 64, repeats: bool = True) -> list[int]:
     """bits / 64 unsigned integers; the k-th from XXH64 with seed 42 + k. Without repeats, each shingle counts once."""
+    shingles = word_shingles(text, words)
+    return fingerprint_of(shingles if repeats else list(set(shingles)), bits)
+
+
+def fingerprint_of(shingles: list[bytes], bits: int) -> list[int]:
+    """The fingerprint of a list of shingles."""
     import numpy as np
     import xxhash
 
-    shingles = word_shingles(text, words) if repeats else list(set(word_shingles(text, words)))
     n, out = len(shingles), []
     for k in range(bits // 64):
         total = np.zeros(64, np.int64)
@@ -92,15 +97,25 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        def of_set(text: str) -> tuple:
+            """Of one text at a time, as sets of many take more than their texts."""
+            shingles = set(word_shingles(text, words))
+            less = [set_hash(shingles - {x}) for x in shingles] if 1 < len(shingles) <= sizes else []
+            return fingerprint_of(list(shingles), bits), len(shingles), set_hash(shingles), less
+
         with memory_returned():
             for batch in batches:
-                with no_gc():
-                    found = [fingerprint(t, words, bits, repeats=not sizes) for t in batch.column(1).to_pylist()]
-                table = np.array(found, np.uint64).reshape(len(found), len(names)).view(np.int64)
-                sets = [set(word_shingles(t, words)) for t in batch.column(1).to_pylist()] if sizes else []
-                less = [[set_hash(s - {x}) for x in s] if 1 < len(s) <= sizes else [] for s in sets]
-                counts = [pa.array(map(len, sets), pa.int64()), pa.array(map(set_hash, sets), pa.binary()), pa.array(less, pa.list_(pa.binary()))] if sizes else []
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + (["n_shingles", "set_hash", "less_one"] if sizes else []))
+                for at in range(0, batch.num_rows, 1_000):
+                    part = batch.slice(at, 1_000)
+                    texts, counts = part.column(1).to_pylist(), []
+                    with no_gc():
+                        if sizes:
+                            found, n, hashes, less = zip(*map(of_set, texts))
+                            counts = [pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array(less, pa.list_(pa.binary()))]
+                        else:
+                            found = [fingerprint(t, words, bits) for t in texts]
+                    table = np.array(found, np.uint64).reshape(len(texts), len(names)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(names))), *counts], names=[id_col, *names] + (["n_shingles", "set_hash", "less_one"] if sizes else []))
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} long" for n in names)] + (["n_shingles long", "set_hash binary", "less_one array<binary>"] if sizes else [])))
@@ -279,7 +294,7 @@ def tile_pairs(prints: DataFrame, radius: int, bits: int, tile_rows: int, level:
     base = min((of for of, _ in count_of), default=0)
     every = [(of, c) for of in range(base, max((of for of, _ in count_of), default=0) + 1) for c in range(bits + 1)]
     at = (F.col("level") - base) * (bits + 1) + F.col("ones")
-    array_of = lambda x: F.array(*map(F.lit, x))
+    array_of = lambda x: F.expr(f"cast(split('{','.join(map(str, x))}', ',') as array<int>)")  # noqa: E731  # a literal
     tile = F.get(array_of([first.get(k, 0) for k in every]), at) + F.pmod(F.xxhash64("id", *names), F.get(array_of([several.get(k, 1) for k in every]), at)).cast("int")
 
     def packed(table: pa.Table) -> pa.Table:
