@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskspark.llm import exactdedup, langid, packing, simhash
-from maskspark.llm.common import delete_path, new_path, plain_columns, stored
+from maskspark.llm.common import bounded, delete_path, new_path, plain_columns, stored
 
 #: Below this probability a text's language counts as unknown, like that of one without letters.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -53,8 +53,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = F.struct(F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id"), doc_id.isNull().alias("none"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest"))
     keyed = plain.withColumn("key", key)
     groups = simhash.similar_documents(keyed, "key", column["text"])
-    kept = stored(groups.select(F.col("component_id").alias("kept")).distinct(), "near-kept")
-    first = keyed.join(kept, keyed["key"] == kept["kept"], "left_semi").dropDuplicates(["key"])
+    keys = stored(groups.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("times"), F.first(F.col("component_id") == F.col("key")).alias("first")), "near-keys")
+    # Few rows go, and few are repeated: the others stay where they are.
+    gone, again = keys.where("times > 1 or not first").select("of"), keys.where("times > 1 and first").select("of")
+    first = keyed.join(bounded(gone), keyed["key"] == gone["of"], "left_anti")
+    if again.head(1):
+        first = first.unionByName(keyed.join(bounded(again), keyed["key"] == again["of"], "left_semi").dropDuplicates(["key"]))
     return first.select(*(F.col(c).alias(name) for name, c in column.items()))
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_by_key, plain_columns, stored
+from .common import bounded, joined_by_key, plain_columns, stored
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -78,12 +78,21 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of df that stay, with all their columns; of rows alike in id, one."""
     rows, column = plain_columns(df)
     found = deduplicate(rows.select(F.col(column[id_col]).alias("id"), F.col(column[text_col]).alias("text")), "id", "text", salts)
-    # Keys without nulls: the join's partitioning then serves the choice among repeated rows.
-    keys = lambda i: [F.coalesce(i, F.lit(0)), i.isNull()]
-    kept = found.where("kept").select(*(k.alias(f"k{n}") for n, k in enumerate(keys(F.col("id")))), F.unhex("text_sha256").alias("k2")).distinct()
-    text = F.coalesce(F.col(column[text_col]).cast("string"), F.lit(""))
-    own = rows.withColumns({f"r{n}": k for n, k in enumerate([*keys(F.col(column[id_col]).cast("long")), F.unhex(F.sha2(normalised(text), 256))])})
-    staying = own.join(kept, [F.col(f"r{n}") == F.col(f"k{n}") for n in range(3)], "left_semi")
-    order = Window.partitionBy("r0", "r1", "r2").orderBy(F.length(text).desc(), text)
-    first = staying.withColumn("place", F.row_number().over(order)).where("place = 1")
+    found = stored(found.select("id", F.unhex("text_sha256").alias("sha"), "kept"), "exact-kept")
+    ids = stored(found.groupBy("id").agg(F.count("*").alias("times"), F.bool_or("kept").alias("kept")), "exact-ids")
+    keys = lambda i: [F.coalesce(i.cast("long"), F.lit(0)), i.isNull()]  # noqa: E731  # without nulls
+    named = lambda letter, i: [k.alias(f"{letter}{n}") for n, k in enumerate(keys(i))]
+    same = lambda n: [F.col(f"r{k}") == F.col(f"k{k}") for k in range(n)]
+    own = rows.select("*", *named("r", F.col(column[id_col])))
+    # Rows of ids that stand once stay or go by their id; others are looked at by their texts.
+    gone = ids.where("times > 1 or not kept").select(*named("k", F.col("id")))
+    first = own.join(bounded(gone), same(2), "left_anti")
+    again = ids.where("times > 1").select(*named("k", F.col("id")))
+    if again.head(1):
+        text = F.coalesce(F.col(column[text_col]).cast("string"), F.lit(""))
+        kept = found.where("kept").select(*named("k", F.col("id")), F.col("sha").alias("k2")).distinct()
+        many = own.join(bounded(again), same(2), "left_semi").withColumn("r2", F.unhex(F.sha2(normalised(text), 256)))
+        order = Window.partitionBy("r0", "r1", "r2").orderBy(F.length(text).desc(), text)
+        many = many.join(kept, same(3), "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+        first = first.unionByName(many.select(*first.columns))
     return first.select(*(F.col(c).alias(name) for name, c in column.items()))
