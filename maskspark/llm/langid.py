@@ -137,9 +137,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 200, windows_per_doc: int = 6, length: int = 256, **shape) -> ByteConvNet | None:
     """A network learned from df's rows of non-null text and language, or None without any."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and id is not null")
+    # Hashes under a bound that twice the wanted ids of a language are expected under: few rows are ranked.
+    sizes = bounded(rows.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("id").alias("n")))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / (1 << 53) < 2 * docs_per_language / F.col("n")
+    few = rows.select("lang", "id").join(sizes, F.col("lang") == F.col("of")).where(drawn).select("of", F.col("id").alias("one")).distinct()
     rank = F.row_number().over(Window.partitionBy("of").orderBy("hash", "one"))
-    ids = rows.groupBy(F.col("lang").alias("of"), F.col("id").alias("one")).agg(F.first(F.xxhash64("id")).alias("hash"))
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= docs_per_language).select("of", "one")
+    ids = few.withColumn("hash", F.pmod(F.xxhash64("one"), F.lit(1 << 53))).withColumn("rank", rank).where(F.col("rank") <= docs_per_language).select("of", "one")
     texts = rows.join(bounded(stored(ids, "language-sample")), (F.col("lang") == F.col("of")) & (F.col("id") == F.col("one"))).select("lang", "id", "text")
     kind = texts.schema["id"].dataType.simpleString()
 
