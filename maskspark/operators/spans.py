@@ -96,6 +96,9 @@ def replaced(text: pa.Array, starts: pa.Array, ends: pa.Array, replacements: pa.
     return pa.array(out, pa.string())
 
 
+replaced = replaced.asNondeterministic()  # so no optimiser writes a text twice
+
+
 def applied(documents: DataFrame, plan: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
     """(id_col, masked_text) of all documents, those without spans as they are."""
     lists = plan.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("_plan")).withColumnRenamed(id_col, "_id")

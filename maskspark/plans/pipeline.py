@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from maskspark.functions import dates
 from maskspark.functions.canonical import VERSION, canonical, type_prefix
 from maskspark.operators import pseudonyms, spans, strategies
-from maskspark.operators.detect import find
+from maskspark.operators.detect import Detector, find
 from maskspark.sources.store import written
 
 from .policy import Job, Policy, PolicyViolation, default_policy
@@ -34,21 +34,25 @@ class Keys:
         return "Keys(...)"
 
 
-@F.arrow_udf(_LEAKS)
-def _found_outside(masked: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    """What the detector finds in masked texts, but for what lies inside one replacement."""
-    from bisect import bisect_right
+def outside(detector: Detector):
+    """A column of what a detector finds in masked texts, but for what lies inside one replacement."""
 
-    kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
-    out = []
-    for text, s, e in zip(masked.to_pylist(), starts.to_pylist(), ends.to_pylist()):
-        left = []
-        for name, start, end, confidence in find(text or ""):
-            i = bisect_right(s or [], start) - 1
-            if i < 0 or end > e[i]:
-                left.append({"entity_type": name, "start": start, "end": end, "confidence": confidence})
-        out.append(left)
-    return pa.array(out, kind)
+    @F.arrow_udf(_LEAKS)
+    def found(masked: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        from bisect import bisect_right
+
+        kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
+        out = []
+        for text, s, e in zip(masked.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+            left = []
+            for name, start, end, confidence in detector(text or ""):
+                i = bisect_right(s or [], start) - 1
+                if i < 0 or end > e[i]:
+                    left.append({"entity_type": name, "start": start, "end": end, "confidence": confidence})
+            out.append(left)
+        return pa.array(out, kind)
+
+    return found.asNondeterministic()  # so no optimiser scans a text twice
 
 
 def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy, keys: Keys = Keys(), registry: DataFrame | None = None, shift_key: bytes | None = None, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
@@ -102,29 +106,32 @@ def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy,
     rows = rows.withColumn("replacement", choice.otherwise(""))
     keep = [id_col, "entity_type", "strategy", "start", "end", "surface", "replacement"]
     keep += [c for c in ("entity_class", "digest", "token_length") if c in rows.columns]
-    return spans.with_new_offsets(rows.select(*keep), id_col)
+    return spans.with_new_offsets(spans.checked(rows.select(*keep), id_col), id_col)
 
 
-def mask(documents: DataFrame, findings: DataFrame, job: Job | None = None, policy: Policy | None = None, keys: Keys = Keys(), registry: DataFrame | None = None, verify: bool = True, shift_key: bytes | None = None, honor_overrides: bool = False, redact_quarantined: bool = False, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
+def mask(documents: DataFrame, findings: DataFrame, job: Job | None = None, policy: Policy | None = None, keys: Keys = Keys(), registry: DataFrame | None = None, verify: bool = True, detector: Detector = find, shift_key: bytes | None = None, honor_overrides: bool = False, redact_quarantined: bool = False, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
     """Masked documents with their receipts, a row per document.
 
     documents: (id_col, text); findings: flat, with ord, their order in the message. Columns: id_col,
     masked_text, job_id, mode, policy_version, canonicalizer_version, status, deliverable,
     replacements, leaks. Documents without findings pass through and are verified too. A leak
-    is judged by the base policy; with honor_overrides by the job's strategies. With
+    is judged by the base policy; with honor_overrides by the job's strategies. The detector gives
+    (type, start, end, confidence) of a text (detect.find, http_detector, all_of). With
     redact_quarantined the receipt of a quarantined document has no originals.
     """
     job, policy = job or Job(), policy or default_policy()
+    # Texts are shuffled once, by their ids; both joins with spans read that.
+    documents = documents.select(id_col, text_col, *(c for c in ("shift_days",) if c in documents.columns)).repartition(F.col(id_col))
     plan = planned(documents, findings, job, policy, keys, registry, shift_key, id_col, text_col)
     original = F.lit(None).cast("string") if job.target == "training" else F.col("surface")
     record = F.struct("start", "end", "new_start", "new_end", "entity_type", "strategy", "replacement", original.alias("original"))
     lists = plan.groupBy(id_col).agg(F.sort_array(F.collect_list(record)).alias("replacements")).withColumnRenamed(id_col, "_id")
-    joined = documents.select(id_col, text_col).join(lists, F.col(id_col) == F.col("_id"), "left")
+    joined = documents.join(lists, F.col(id_col) == F.col("_id"), "left")
     none = F.array().cast(lists.schema["replacements"].dataType)
     out = joined.select(id_col, spans.replaced(F.col(text_col), F.col("replacements.start"), F.col("replacements.end"), F.col("replacements.replacement")).alias("masked_text"), F.coalesce("replacements", none).alias("replacements"))
     if verify:
         kept = [k for k, e in policy.of(job.target).items() if (job.strategy_overrides.get(k, e.strategy) if honor_overrides else e.strategy) == "keep"]
-        found = _found_outside(F.col("masked_text"), F.col("replacements.new_start"), F.col("replacements.new_end"))
+        found = outside(detector)(F.col("masked_text"), F.col("replacements.new_start"), F.col("replacements.new_end"))
         out = out.withColumn("_found", found)
         real = lambda f: (f["confidence"] >= spans.threshold_for(f["entity_type"], job.confidence_threshold, job.type_thresholds)) & ~F.upper(f["entity_type"]).isin(*kept)
         out = out.withColumn("leaks", F.filter("_found", real)).drop("_found")

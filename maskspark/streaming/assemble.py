@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from maskspark.operators.detect import FINDING
 from maskspark.sources.messages import policy_name
 
-ASSEMBLED = f"doc_id string, source_path string, total int, chunks int, complete boolean, findings array<{FINDING}>"
+ASSEMBLED = f"doc_id string, source_path string, total int, chunks int, complete boolean, late boolean, findings array<{FINDING}>"
 
 
 def shifted(scans: DataFrame) -> DataFrame:
@@ -54,61 +54,77 @@ def assembled(scans: DataFrame, arrival: str, only_complete: bool = True) -> Dat
 
 
 class Assembler(StatefulProcessor):
-    """Holds a document's chunks until all are there, or until none has come for idle_ms."""
+    """Holds a document's chunks until all are there, or until none has come for idle_ms.
 
-    def __init__(self, idle_ms: int = 300_000):
-        self.idle_ms = idle_ms
+    That a document has left is remembered for forget_ms; chunks that come in that time go out as late.
+    """
+
+    def __init__(self, idle_ms: int = 300_000, forget_ms: int = 86_400_000):
+        self.idle_ms, self.forget_ms = idle_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "source_path string, total int, done boolean")
+        self.head = handle.getValueState("head", "source_path string, total int, chunks int, done boolean", self.forget_ms)
         self.parts = handle.getMapState("parts", "idx int", "findings string")
 
-    def _document(self, doc_id: str, source_path: str, total: int) -> pd.DataFrame:
+    def _document(self, doc_id: str, head: tuple) -> pd.DataFrame:
         import json
 
         parts = sorted((int(k[0]), v[0]) for k, v in self.parts.iterator())
-        findings = [f for _, text in parts for f in json.loads(text)]
         self.parts.clear()
-        self.head.update((source_path, total, True))
+        self.head.update((*head[:3], True))
+        self._disarm()
+        return self._rows(doc_id, head, len(parts), [f for _, text in parts for f in json.loads(text)], False)
+
+    @staticmethod
+    def _rows(doc_id: str, head: tuple, chunks: int, findings: list, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": [doc_id], "source_path": [head[0]], "total": [head[1]], "chunks": [chunks], "complete": [chunks >= head[1]], "late": [late], "findings": [findings]})
+
+    def _disarm(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        return pd.DataFrame({"doc_id": [doc_id], "source_path": [source_path], "total": [total], "chunks": [len(parts)], "complete": [len(parts) >= total], "findings": [findings]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import json
 
-        (doc_id,) = key
+        head = self.head.get() if self.head.exists() else None
         for batch in rows:
-            for r in batch.itertuples():
-                if self.head.exists() and self.head.get()[2]:
-                    continue  # late: the document has left; its chunks don't begin another
-                if not self.head.exists():
-                    self.head.update((r.source_path, int(r.total), False))
-                self.parts.updateValue((int(r.idx),), (r.findings_json,))
-                source_path, total, _ = self.head.get()
-                if sum(1 for _ in self.parts.keys()) >= total:
-                    yield self._document(doc_id, source_path, total)
-        if self.head.exists() and not self.head.get()[2]:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            for idx, source_path, total, text in zip(batch["idx"], batch["source_path"], batch["total"], batch["findings_json"]):
+                if head is None:
+                    head = (source_path, int(total), 0, False)
+                if head[3]:  # the document has left; its chunks don't begin another
+                    yield self._rows(key[0], head, 1, json.loads(text), True)
+                    continue
+                new = not self.parts.containsKey((int(idx),))
+                self.parts.updateValue((int(idx),), (text,))
+                head = (head[0], head[1], head[2] + new, False)
+                if head[2] >= head[1]:
+                    yield self._document(key[0], head)
+                    head = (*head[:3], True)
+        if head is not None and not head[3]:
+            self.head.update(head)
+            self._disarm()
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.head.exists() and not self.head.get()[2]:
-            source_path, total, _ = self.head.get()
-            yield self._document(key[0], source_path, total)
+        head = self.head.get() if self.head.exists() else None
+        if head is not None and not head[3]:
+            yield self._document(key[0], tuple(head))
 
     def close(self) -> None:
         pass
 
 
-def assembled_stream(scans: DataFrame, idle_ms: int = 300_000) -> DataFrame:
-    """The same for a stream. A document goes out once; chunks that come later are dropped.
+def assembled_stream(scans: DataFrame, idle_ms: int = 300_000, forget_ms: int = 86_400_000) -> DataFrame:
+    """The same for a stream. A document goes out once; each chunk that comes later is a row with late = true.
 
     Needs spark.sql.streaming.stateStore.providerClass set to the RocksDB provider.
     """
     rows = shifted(scans).select("doc_id", "idx", "source_path", "total", F.to_json("findings").alias("findings_json"))
-    return rows.groupBy("doc_id").transformWithStateInPandas(Assembler(idle_ms), ASSEMBLED, "append", "processingTime")
+    return rows.groupBy("doc_id").transformWithStateInPandas(Assembler(idle_ms, forget_ms), ASSEMBLED, "append", "processingTime")
 
 
+def write_documents(batch: DataFrame, path: str) -> None:
+    """A foreachBatch sink: documents/ and late/, by whether they are late."""
+    batch.where("not late").write.mode("append").json(f"{path}/documents")
+    batch.where("late").write.mode("append").json(f"{path}/late")
