@@ -99,6 +99,18 @@ def detect_all(spark, sf_dir):
     return longs(found.drop("tier", "validated"), **OFFSETS)
 
 
+def detect_numbers(spark, sf_dir):
+    """Cards, Aadhaar numbers, SSNs, PANs and phones written from orders, amid times and unformatted numbers that are none."""
+    key = F.col("o_orderkey")
+    card, person = checkdigits.luhn_fix(F.lpad((key * 7919).cast("string"), 16, "4")), checkdigits.verhoeff_fix(F.lpad((key * 104729).cast("string"), 12, "7"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", card.alias("card"), person.alias("person"), F.lpad((key % 10000).cast("string"), 4, "0").alias("four"))
+    four = lambda c, n: F.concat_ws(" ", *(F.substring(c, 1 + 4 * k, 4) for k in range(n)))
+    text = F.concat(F.lit("pay "), four("card", 4), F.lit(" id "), four("person", 3), F.lit(" ssn 123-45-"), "four", F.lit(" pan ABCDE"), "four", F.lit("F call +91 98765 1"), "four", F.lit(" on 2020-06-24 12:34:56 raw "), "card", F.lit(" end"))
+    found = detect.flat(detect.detect(rows.select(key.alias("file_id"), text.alias("text"))))
+    out = spans.surfaces(rows.select(key.alias("file_id"), text.alias("text")), found.select("file_id", "start", "end", "entity_type", "confidence"))
+    return longs(out.select(F.col("file_id").alias("o_orderkey"), "entity_type", "start", "end", "confidence", "surface"), **OFFSETS)
+
+
 def composite_detect(spark, sf_dir):
     """Two detectors' findings together: the built-in one's and the notes' own."""
     text = notes(spark, sf_dir).select("file_id", "text")
@@ -339,6 +351,43 @@ def vault_first_wins(spark, sf_dir):
     return joined.select("pseudonym", "entity_type", crypto.opened(F.col("ciphertext"), F.col("vault_key"), F.col("pseudonym")).alias("original"))
 
 
+def _vault(spark, sf_dir, leaky="false"):
+    status = notes(spark, sf_dir).select("file_id", F.expr(f"if({leaky}, 'LEAK_DETECTED', 'VERIFIED')").alias("status"))
+    key = spark.createDataFrame([(bytearray(b"v" * 32),)], "vault_key binary")
+    return state.vault_rows(_plan(spark, sf_dir, Job(target="rag"), Keys(SALT)), status, True, key)
+
+
+def vault_gate(spark, sf_dir):
+    """Pseudonyms that go to the vault if every fourth note leaks: those of the others."""
+    return _vault(spark, sf_dir, "o_orderkey % 4 = 0").select("pseudonym", "entity_type")
+
+
+def vault_count(spark, sf_dir):
+    """How many originals a vault holds."""
+    return state.vault_count(_vault(spark, sf_dir))
+
+
+def leak_types(spark, sf_dir):
+    """The kinds of leaks of notes masked without their e-mail findings."""
+    some = findings(spark, sf_dir).where("entity_type not in ('EMAIL', 'BADGE')")
+    out = messages.leak_types(mask(notes(spark, sf_dir).select("file_id", "text"), some, YEARS))
+    return out.select("job_id", F.array_join("types", ",").alias("types"))
+
+
+def recompute_digits(spark, sf_dir):
+    """Check digits put right where the type has one."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.lpad((F.col("o_orderkey") * 7919).cast("string"), n, "5").alias("digits")) for k, n in (("CREDIT_CARD", 16), ("AADHAAR", 12), ("SSN", 9)))))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", kinds.alias("x")).select("o_orderkey", "x.*")
+    return rows.select("*", checkdigits.recompute(F.col("entity_type"), F.col("digits")).alias("fixed"))
+
+
+def text_store(spark, sf_dir):
+    """Messages with their texts: inline, or from a store."""
+    held = notes(spark, sf_dir).select("file_id", "text")
+    some = notes(spark, sf_dir).select("file_id", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("inline "), "file_id")).alias("text"))
+    return messages.with_texts(some, held).select("file_id", "text")
+
+
 def eval_kpis(spark, sf_dir):
     """Leaks, consistency and false merges of the notes' pseudonyms."""
     docs, found = notes(spark, sf_dir).select("file_id", "text"), findings(spark, sf_dir).where("entity_type in ('PERSON', 'EMAIL') and ord < 6").withColumn("confidence", F.lit(0.9))
@@ -463,6 +512,12 @@ ORACLE: dict[str, str] = {
         y AS (SELECT doc_id, ms[i] AS surface, (list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT AS span_start FROM x)
         SELECT doc_id, span_start, span_start + length(surface) AS span_end, surface FROM y""",
     "mask_email_training": f"SELECT doc_id, regexp_replace(text, '{_EMAIL}', '<EMAIL>', 'g') AS masked_text, len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS n_replacements FROM documents",
+    "detect_numbers": f"""WITH x AS (SELECT o_orderkey, substr(lpad((o_orderkey * 7919)::VARCHAR, 16, '4'), 1, 15) AS c, substr(lpad((o_orderkey * 104729)::VARCHAR, 12, '7'), 1, 11) AS p, lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS four FROM orders),
+        y AS (SELECT *, concat(c, (10 - ({_digit_sum('c', 15)}) % 10) % 10) AS card, concat(p, {_verhoeff_sql('p', 11)}) AS person FROM x),
+        z AS (SELECT o_orderkey, concat_ws(' ', substr(card, 1, 4), substr(card, 5, 4), substr(card, 9, 4), substr(card, 13, 4)) AS card, concat_ws(' ', substr(person, 1, 4), substr(person, 5, 4), substr(person, 9, 4)) AS person, four FROM y)
+        SELECT o_orderkey, 'CREDIT_CARD' AS entity_type, 4::BIGINT AS span_start, 23::BIGINT AS span_end, 0.95::DOUBLE AS confidence, card AS surface FROM z
+        UNION ALL SELECT o_orderkey, 'AADHAAR', 27, 41, 0.95, person FROM z UNION ALL SELECT o_orderkey, 'SSN', 46, 57, 0.9, concat('123-45-', four) FROM z
+        UNION ALL SELECT o_orderkey, 'PAN', 62, 72, 0.9, concat('ABCDE', four, 'F') FROM z UNION ALL SELECT o_orderkey, 'PHONE', 78, 93, 0.7, concat('+91 98765 1', four) FROM z""",
     "composite_detect": f"""{_BASE}, a AS (SELECT file_id, 'EMAIL' AS kind, s, e, 0 AS src, 0 AS ord FROM f WHERE kind = 'EMAIL' UNION ALL SELECT file_id, kind, s, e, 1, ord FROM f)
         SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY s, src, ord) - 1 AS ord, kind AS entity_type, s::BIGINT AS span_start, e::BIGINT AS span_end FROM a""",
     "threshold_filter": f"{_BASE} SELECT file_id, ord::BIGINT AS ord, kind AS entity_type, s::BIGINT AS span_start, e::BIGINT AS span_end, confidence FROM f WHERE confidence >= CASE kind WHEN 'PERSON' THEN 0.7::DOUBLE WHEN 'EMAIL' THEN 0.35::DOUBLE ELSE 0.5::DOUBLE END",
@@ -514,6 +569,13 @@ ORACLE: dict[str, str] = {
     "receipt_latest": "SELECT concat('f', user_id) AS file_id, event_type AS policy_version, arg_max(event_id, (date_trunc('second', ts), event_id)) AS receipt FROM events GROUP BY ALL",
     "receipt_upsert": "SELECT concat('f', user_id) AS file_id, event_type AS policy_version, arg_max(event_id, (event_id % 2, date_trunc('second', ts), event_id)) AS receipt FROM events GROUP BY ALL",
     "vault_first_wins": f"{_RAG} SELECT rep AS pseudonym, CASE WHEN rep < 'User_8' THEN 'OLD' ELSE first(kind ORDER BY file_id, s) END AS entity_type, first(surface ORDER BY file_id, s) AS original FROM pl WHERE kind <> 'BADGE' GROUP BY rep",
+    "vault_gate": f"""{_RAG}, ok AS (SELECT * FROM pl WHERE kind <> 'BADGE' AND substr(file_id, 2)::BIGINT % 4 <> 0) SELECT rep AS pseudonym, first(kind ORDER BY file_id, s) AS entity_type FROM ok GROUP BY rep""",
+    "vault_count": f"{_RAG} SELECT count(DISTINCT rep) AS originals FROM pl WHERE kind <> 'BADGE'",
+    "leak_types": "SELECT 'job' AS job_id, 'EMAIL' AS types",
+    "recompute_digits": f"""WITH x AS (SELECT o_orderkey, (o_orderkey * 7919)::VARCHAR AS k FROM orders), y AS (SELECT o_orderkey, lpad(k, 16, '5') AS c, lpad(k, 12, '5') AS p, lpad(k, 9, '5') AS q FROM x)
+        SELECT o_orderkey, 'CREDIT_CARD' AS entity_type, c AS digits, concat(substr(c, 1, 15), (10 - ({_digit_sum('c', 15)}) % 10) % 10) AS fixed FROM y
+        UNION ALL SELECT o_orderkey, 'AADHAAR', p, concat(substr(p, 1, 11), {_verhoeff_sql('p', 11)}) FROM y UNION ALL SELECT o_orderkey, 'SSN', q, q FROM y""",
+    "text_store": f"WITH n AS ({_N}) SELECT file_id, CASE WHEN o_orderkey % 2 = 0 THEN concat('inline ', file_id) ELSE text END AS text FROM n",
     "eval_kpis": f"""WITH n AS ({_N}) SELECT 3 * count(*) AS masked_spans, 0::BIGINT AS residual_leaks, 0::BIGINT AS quarantined_docs,
         2 * count(DISTINCT person) AS entities, 1.0::DOUBLE AS consistency, 0::BIGINT AS false_merges FROM n""",
 }
@@ -525,5 +587,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mask_training, date_shift_fixed, date_shift_secret, generalize_values, canonical_forms, hmac_token, collision_extend, token_consistency, mask_rag, luhn_fix,
         verhoeff_fix, fpe_layout, fpe_encrypt, policy_compose, policy_compose_all, policy_resolve, policy_compile, review_queue, verify_leaks, quarantine_split, spans_by_type,
         assemble_chunks, entity_names, receipt_latest, receipt_upsert, vault_first_wins, eval_kpis, eval_made_corpus, redline_notes,
+        detect_numbers, vault_gate, vault_count, leak_types, recompute_digits, text_store,
     )
 }
