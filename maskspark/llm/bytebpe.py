@@ -105,7 +105,7 @@ class PerfectHash:
 
 
 class ByteBPE:
-    def __init__(self, path: str | None = None, pattern: str | None = None, cache: int = 400_000):
+    def __init__(self, path: str | None = None, pattern: str | None = None, cache: int = 800_000):
         import regex
 
         from public_tokenizers import PATTERN
