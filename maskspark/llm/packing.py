@@ -151,7 +151,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     offset += length
                     size += len(part)
                 next_sequence += 1
-                if size > 16_000_000:
+                if size > 4_000_000:
                     yield batch_of(out)
                     out, size = [[] for _ in names], 0
             if out[0]:
@@ -169,9 +169,9 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             ids_type = batch.schema.field(0).type
             with no_gc():
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(texts), 256):
-                    for key, ids in zip(keys[at : at + 256], words.encode(texts[at : at + 256])):
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    for key, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist())):
                         docs.append((key, ids + end))
                         pending.append((len(ids) // 4 + 1, len(docs) - 1, 0))
                         held += len(ids) // 4 + 1
