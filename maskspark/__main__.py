@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from maskspark.operators import detect, evaluate, spans
+from maskspark.operators import detect, evaluate, pseudonyms, spans, state
 from maskspark.plans import packs
+from maskspark.plans.jobs import VAULT, Masked, mask_messages, statuses
 from maskspark.plans.pipeline import Keys, mask, planned
 from maskspark.plans.policy import Job, Policy, default_policy, load_policy
 from maskspark.sources import messages
@@ -29,16 +29,14 @@ def job_from(args: argparse.Namespace, spark: SparkSession, policy: Policy) -> J
     return Job(job_id=args.job, target=args.target, tenant_id=args.tenant, **settings)
 
 
-def masked_folder(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """A folder's messages masked, each under its own job id; the other settings are the arguments'."""
+def masked_folder(spark: SparkSession, args: argparse.Namespace) -> Masked:
+    """A folder's messages masked, each under its own job; what that leaves open is as the arguments say."""
     policy = load_policy(args.policy) if args.policy else default_policy()
-    job = job_from(args, spark, policy)
-    keys = Secrets(args.secrets, args.secrets_file).keys(job) if args.target == "rag" else Keys()
-    rows = written(messages.collect(spark, args.input), "messages")
-    found = detect.flat(rows)
-    out = mask(rows.select("file_id", "text"), found, job, policy, keys, detector=detect.detector_named(args.detector, args.detector_url), verify=args.detector != "none")
-    jobs = rows.select(F.col("file_id").alias("_id"), F.col("job.job_id").alias("_job"))
-    return out.join(jobs, F.col("file_id") == F.col("_id"), "left").withColumn("job_id", F.coalesce("_job", "job_id")).drop("_id", "_job")
+    rows = messages.collect(spark, args.input, job_id=args.job, target=args.target, tenant_id=args.tenant)
+    registry = state.load(spark, f"{args.state}/registry", pseudonyms.REGISTRY) if args.state else None
+    vault = state.load(spark, f"{args.state}/vault", VAULT) if args.state else None
+    detector = detect.detector_named(args.detector, args.detector_url)
+    return mask_messages(rows, job_from(args, spark, policy), policy, Secrets(args.secrets, args.secrets_file), registry, vault, detector=detector, verify=args.detector != "none")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -58,6 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         step.add_argument("--detector-url")
         step.add_argument("--secrets", choices=("env", "file"), default="env")
         step.add_argument("--secrets-file")
+        step.add_argument("--state")
     steps.add_parser("validate").add_argument("--policy")
     steps.add_parser("eval").add_argument("--docs", type=int, default=40)
     args = parser.parse_args(argv)
@@ -76,13 +75,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     out = masked_folder(spark, args)
     if args.step == "dry-run":
-        out.select("file_id", "status", "masked_text").show(truncate=False)
+        out.documents.select("file_id", "status", "masked_text").show(truncate=False)
         return 0
-    out = written(out, "masked")
-    messages.write_results(out, args.output)
-    row = messages.status_rollup(out).head()
-    print(f"{row['delivered']} delivered, {row['quarantined']} quarantined")
-    return QUARANTINED if row["quarantined"] else 0
+    messages.write_results(out.documents, args.output)
+    out.failed.write.mode("append").json(f"{args.output}/failed")
+    if args.state:
+        state.save(out.registry, f"{args.state}/registry")
+        state.save(out.vault, f"{args.state}/vault")
+    found = {r["status"]: r["count"] for r in statuses(out).groupBy("status").count().collect()}
+    quarantined, failed = found.pop("LEAK_DETECTED", 0), found.pop("FAILED", 0)
+    print(f"{sum(found.values())} delivered, {quarantined} quarantined, {failed} failed")
+    return QUARANTINED if quarantined else 0
 
 
 if __name__ == "__main__":

@@ -52,6 +52,12 @@ def identities_of(df: DataFrame, id_col: str = "file_id") -> DataFrame:
     return df.groupBy("entity_class", "digest").agg(F.min(F.struct(F.col(id_col).cast("string").alias("id"), "start")).alias("first_seen"))
 
 
+def registry_of(plan: DataFrame) -> DataFrame:
+    """Registry rows of the pseudonyms of a plan (planned())."""
+    owned = plan.where("strategy = 'hmac_pseudonym'").select("entity_class", F.expr("substring(digest, 1, token_length)").alias("prefix"), "digest", "token_length")
+    return owned.dropDuplicates(["entity_class", "prefix"])
+
+
 def merged_registry(old: DataFrame, new: DataFrame) -> DataFrame:
     """The registry with new rows; whoever owns a prefix keeps it."""
     return old.unionByName(new.join(old.select("entity_class", "prefix"), ["entity_class", "prefix"], "left_anti").select(*old.columns))

@@ -109,7 +109,7 @@ def planned(documents: DataFrame, findings: DataFrame, job: Job, policy: Policy,
     return spans.with_new_offsets(spans.checked(rows.select(*keep), id_col), id_col)
 
 
-def mask(documents: DataFrame, findings: DataFrame, job: Job | None = None, policy: Policy | None = None, keys: Keys = Keys(), registry: DataFrame | None = None, verify: bool = True, detector: Detector = find, shift_key: bytes | None = None, honor_overrides: bool = False, redact_quarantined: bool = False, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
+def mask(documents: DataFrame, findings: DataFrame, job: Job | None = None, policy: Policy | None = None, keys: Keys = Keys(), registry: DataFrame | None = None, verify: bool = True, detector: Detector = find, shift_key: bytes | None = None, honor_overrides: bool = False, redact_quarantined: bool = False, id_col: str = "file_id", text_col: str = "text", plan: DataFrame | None = None) -> DataFrame:
     """Masked documents with their receipts, a row per document.
 
     documents: (id_col, text); findings: flat, with ord, their order in the message. Columns: id_col,
@@ -117,12 +117,13 @@ def mask(documents: DataFrame, findings: DataFrame, job: Job | None = None, poli
     replacements, leaks. Documents without findings pass through and are verified too. A leak
     is judged by the base policy; with honor_overrides by the job's strategies. The detector gives
     (type, start, end, confidence) of a text (detect.find, http_detector, all_of). With
-    redact_quarantined the receipt of a quarantined document has no originals.
+    redact_quarantined the receipt of a quarantined document has no originals. plan: what planned()
+    gave for them, if it is there already.
     """
     job, policy = job or Job(), policy or default_policy()
     # Texts are shuffled once, by their ids; both joins with spans read that.
     documents = documents.select(id_col, text_col, *(c for c in ("shift_days",) if c in documents.columns)).repartition(F.col(id_col))
-    plan = planned(documents, findings, job, policy, keys, registry, shift_key, id_col, text_col)
+    plan = planned(documents, findings, job, policy, keys, registry, shift_key, id_col, text_col) if plan is None else plan
     original = F.lit(None).cast("string") if job.target == "training" else F.col("surface")
     record = F.struct("start", "end", "new_start", "new_end", "entity_type", "strategy", "replacement", original.alias("original"))
     lists = plan.groupBy(id_col).agg(F.sort_array(F.collect_list(record)).alias("replacements")).withColumnRenamed(id_col, "_id")

@@ -79,7 +79,10 @@ class Job:
 def job_of(message: dict) -> Job:
     """A job from a message's dict; its target's key there is downstream_target."""
     known = {k: v for k, v in message.items() if k in Job.__dataclass_fields__ and k != "target"}
-    return Job(target=message["downstream_target"], **known)
+    job = Job(target=message["downstream_target"], **known)
+    if not 0 <= job.confidence_threshold <= 1 or not 6 <= job.pseudonym_len <= 32:
+        raise PolicyViolation("a job's confidence threshold is from 0 to 1, its pseudonyms' length from 6 to 32")
+    return job
 
 
 def build_policy(data: dict) -> Policy:

@@ -20,8 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN.setdefault("at", "file://" + tempfile.mkdtemp(prefix="maskspark-steps-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that is read back: what made it runs once, and its lineage ends here."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table that is read back: what made it runs once, and its lineage ends here. With by, in a folder for each value."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
