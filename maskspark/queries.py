@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskspark.functions import canonical as C
 from maskspark.functions import checkdigits, crypto, dates
 from maskspark.operators import detect, evaluate, pseudonyms, redline, spans, state, strategies
+from maskspark.plans import jobs
 from maskspark.plans import packs as P
 from maskspark.plans.pipeline import Keys, mask, planned
 from maskspark.plans.policy import Job, default_policy
 from maskspark.sources import messages
+from maskspark.sources.secrets import Secrets
 from maskspark.streaming import assemble
 
 SALT = bytes([0x42]) * 32  # of test tables only
@@ -61,10 +63,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(notes_sql(False), orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_findings() -> Column:
+    """The notes' findings, as an array."""
     one = lambda k, kind, s, e, when: f"if({when}, struct({k} AS ord, '{kind}' AS entity_type, int({s}) AS start, int({e}) AS end, double(30 + (o_orderkey * 7 + {k} * 13) % 70) / 100 AS confidence), null)"
-    found = F.expr(f"filter(array({', '.join(one(k, *m) for k, m in enumerate(MADE))}), x -> x is not null)")
-    rows = notes(spark, sf_dir).select("file_id", F.explode(found).alias("f"))  # one scan for all kinds
+    return F.expr(f"filter(array({', '.join(one(k, *m) for k, m in enumerate(MADE))}), x -> x is not null)")
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = notes(spark, sf_dir).select("file_id", F.explode(made_findings()).alias("f"))  # one scan for all kinds
     return rows.select("file_id", "f.*", F.lit("T1").alias("tier"), F.lit(False).alias("validated"))
 
 
@@ -217,6 +223,16 @@ def mask_rag(spark, sf_dir):
     return mask(notes(spark, sf_dir).select("file_id", "text"), findings(spark, sf_dir), Job(target="rag"), keys=Keys(SALT)).select("file_id", "masked_text", "status")
 
 
+def mask_jobs(spark, sf_dir):
+    """Notes as messages of two jobs, each masked under its own: training for even orders, rag for odd ones."""
+    training = F.from_json(F.lit('{"job_id": "t", "downstream_target": "training", "tenant_id": "acme", "strategy_overrides": {"DATE": "generalize"}}'), messages.JOB)
+    rag = F.from_json(F.lit('{"job_id": "r", "downstream_target": "rag", "tenant_id": "acme"}'), messages.JOB)
+    found = F.transform(made_findings(), lambda f: F.struct(f["entity_type"].alias("entity_type"), f["start"].alias("start"), f["end"].alias("end"), f["confidence"].alias("confidence"), F.lit("T1").alias("tier"), F.lit(False).alias("validated")))
+    rows = notes(spark, sf_dir).select("file_id", "text", found.alias("findings"), F.when(F.col("o_orderkey") % 2 == 0, training).otherwise(rag).alias("job"))
+    out = jobs.mask_messages(rows, secrets=Secrets(table={"acme": {"hmac_salt": SALT.hex()}}))
+    return out.documents.select("file_id", "job_id", "masked_text", "status")
+
+
 def luhn_fix(spark, sf_dir):
     """Card numbers from line items, their last digits put right."""
     digits = F.lpad((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber")).cast("string"), 16, "4")
@@ -579,6 +595,10 @@ ORACLE: dict[str, str] = {
     "eval_kpis": f"""WITH n AS ({_N}) SELECT 3 * count(*) AS masked_spans, 0::BIGINT AS residual_leaks, 0::BIGINT AS quarantined_docs,
         2 * count(DISTINCT person) AS entities, 1.0::DOUBLE AS consistency, 0::BIGINT AS false_merges FROM n""",
 }
+# Each job's messages are what the whole plan gives for its documents.
+ORACLE["mask_jobs"] = " UNION ALL ".join(
+    f"SELECT file_id, '{job}' AS job_id, masked_text, status FROM ({ORACLE[name]}) AS x WHERE substr(file_id, 2)::BIGINT % 2 = {rest}" for job, name, rest in (("t", "mask_training", 0), ("r", "mask_rag", 1))
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -587,6 +607,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mask_training, date_shift_fixed, date_shift_secret, generalize_values, canonical_forms, hmac_token, collision_extend, token_consistency, mask_rag, luhn_fix,
         verhoeff_fix, fpe_layout, fpe_encrypt, policy_compose, policy_compose_all, policy_resolve, policy_compile, review_queue, verify_leaks, quarantine_split, spans_by_type,
         assemble_chunks, entity_names, receipt_latest, receipt_upsert, vault_first_wins, eval_kpis, eval_made_corpus, redline_notes,
-        detect_numbers, vault_gate, vault_count, leak_types, recompute_digits, text_store,
+        detect_numbers, vault_gate, vault_count, leak_types, recompute_digits, text_store, mask_jobs,
     )
 }
